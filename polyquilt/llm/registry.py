@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyquilt.llm import bpe, quality, urls
+from polyquilt.llm import bpe, quality, substring, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_token_counts": bpe.op2_token_counts,
+        "op3_substring_dedup": substring.op3_substring_dedup,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_url_filter": urls.op5_url_filter,
         "op10_bpe": bpe.op10_bpe,
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.oracle_sql()}
+    return {"op3_substring_dedup": substring.oracle_sql(), "op4_quality_rules": quality.oracle_sql()}
