@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyquilt.llm import bpe, neardup, quality, substring, urls
+from polyquilt.llm import bpe, html, neardup, quality, substring, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_url_filter": urls.op5_url_filter,
         "op6_minhash_neardup": neardup.op6_minhash_neardup,
+        "op9_html_extract": html.op9_html_extract,
         "op10_bpe": bpe.op10_bpe,
     }
 
