@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,11 +26,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 from polyquilt.llm import common
 
-#: Entries of a worker's chunk memo; when it is full it starts anew.
-MEMO_ENTRIES = 400_000
+#: Entries of a worker's chunk memo; when it is full it becomes the older memo, which is asked before work is done anew.
+MEMO_ENTRIES = 600_000
 NO_RANK = np.int64(1) << 40
 
 
+def byte_signs() -> str:
+    """The sign of each byte in byte-level vocabularies: itself if it is a visible Latin-1 sign, else the next from U+0100 on."""
+    out, extra = [], 0
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out.append(chr(b))
+        else:
+            out.append(chr(256 + extra))
+            extra += 1
+    return "".join(out)
+
+
+def latin_pieces():
+    """A pre-tokeniser for lower-cased texts of characters under U+0180, whose classes no Unicode version changed."""
+    kinds: dict[str, list[str]] = {"L": [], "N": []}
+    for c in map(chr, range(0x180)):
+        kinds.get(unicodedata.category(c)[0], []).append(re.escape(c))
+    letters, digits = "".join(kinds["L"]), "".join(kinds["N"])
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{digits}]|[^{letters}{digits}\t-\r \x85\xa0]+").findall
+
+
 class Vocabulary:
     """Ranks, merge products and pre-tokenisation of one vocabulary file."""
 
@@ -39,49 +62,89 @@ class Vocabulary:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
         model = spec["model"]
-        self.ids: dict[str, int] = model["vocab"]
-        self.end = model["end_of_word_suffix"] or ""
+        ids: dict[str, int] = model["vocab"]
+        end = model["end_of_word_suffix"] or ""
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
-        self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.base = len(self.tokens) + 1
+        self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
+        self.base = max(self.tokens) + 1
+        self.names = [self.tokens.get(i, "").encode() for i in range(self.base)]
+        signs = byte_signs()
+        self.inner = np.array([ids[c] for c in signs], np.int32)
+        self.last = np.array([ids[c + end] for c in signs], np.int32)
+        self.unsigned = str.maketrans(signs, bytes(range(256)).decode("latin-1"))
         left, right, made = [], [], []
         for a, b in (m if isinstance(m, list) else m.split(" ") for m in model["merges"]):
-            left.append(self.ids[a])
-            right.append(self.ids[b])
-            made.append(self.ids[a + b])
-        keys = np.array(left, np.int64) * self.base + np.array(right, np.int64)
-        order = np.argsort(keys)
-        self.keys, self.rank, self.made = keys[order], order.astype(np.int64), np.array(made, np.int64)
+            left.append(ids[a])
+            right.append(ids[b])
+            made.append(ids[a + b])
+        self.made = np.array(made, np.int32)
+        self._table(np.array(left, np.int64) * self.base + np.array(right, np.int64))
+        self.prefix = os.path.commonprefix(list(self.special))
         self.split = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        self.ascii_pieces = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+").findall
-
-    def pieces(self, chunk: str) -> list[str | int]:
-        """The pre-tokens of a chunk as byte-level strings; a special token as its id."""
-        parts = self.split.split(chunk) if self.split and any(x in chunk for x in self.special) else [chunk]
-        out: list[str | int] = []
-        for part in parts:
-            if part in self.special:
-                out.append(self.special[part])
-            elif part.isascii() and part.isprintable():
-                out += self.ascii_pieces(part.lower())  # printable ASCII bytes stand for themselves
-            elif part:
-                text = self.library.normalizer.normalize_str(part)
-                out += [p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
-        return out
-
-    def symbols(self, piece: str) -> list[int]:
-        ids = [self.ids[c] for c in piece[:-1]]
-        ids.append(self.ids[piece[-1] + self.end])
-        return ids
+        self.latin = latin_pieces()
+
+    def _table(self, keys: np.ndarray) -> None:
+        """An open-addressing table of merge ranks by pair."""
+        self.bits = max(4, (8 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int64)
+        self.rank = np.full(1 << self.bits, NO_RANK, np.int64)
+        left, self.probes = np.arange(len(keys)), 0
+        while len(left):
+            at = (self._slot(keys[left]) + self.probes) & ((1 << self.bits) - 1)
+            free = self.slots[at] == -1
+            self.slots[at[free][::-1]] = keys[left[free]][::-1]
+            won = self.slots[at] == keys[left]
+            self.rank[at[won]] = left[won]
+            left = left[~won]
+            self.probes += 1
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The merge rank of each pair, NO_RANK where there is none; a symbol below 0 never merges."""
-        key = left * self.base + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((self.keys[at] == key) & (left >= 0) & (right >= 0), self.rank[at], NO_RANK)
-
+        key = left.astype(np.int64) * self.base + right
+        key[(left < 0) | (right < 0)] = -2
+        slot = self._slot(key)
+        out = np.where(self.slots[slot] == key, self.rank[slot], NO_RANK)
+        for k in range(1, self.probes):
+            rest = np.flatnonzero((out == NO_RANK) & (self.slots[slot] != -1) & (key >= 0))
+            if not len(rest):
+                break
+            slot[rest] = (slot[rest] + 1) & ((1 << self.bits) - 1)
+            won = rest[self.slots[slot[rest]] == key[rest]]
+            out[won] = self.rank[slot[won]]
+        return out
 
-def merged_sizes(vocabulary: Vocabulary, pieces: list[str]) -> np.ndarray:
+    def pieces(self, chunk: str) -> list[bytes | int]:
+        """The pre-tokens of a chunk as UTF-8 bytes; a special token as its id."""
+        if self.special and self.prefix in chunk:
+            out: list[bytes | int] = []
+            for part in self.split.split(chunk):
+                if part in self.special:
+                    out.append(self.special[part])
+                elif part:
+                    out += self._plain(part)
+            return out
+        return self._plain(chunk)
+
+    def _plain(self, part: str) -> list[bytes]:
+        if part.isascii() or max(part) < "\u0180" and "\u0130" not in part:
+            return [p.encode() for p in self.latin(part.lower())]
+        text = self.library.normalizer.normalize_str(part)
+        return [p.translate(self.unsigned).encode("latin-1") for p, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+
+    def symbols(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The first symbols of all pieces end to end, and the pieces' sizes."""
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        sym = self.inner[data]
+        ends = np.cumsum(size) - 1
+        sym[ends] = self.last[data[ends]]
+        return sym, size
+
+
+def merged_sizes(vocabulary: Vocabulary, pieces: list[bytes]) -> np.ndarray:
     """Tokens of each pre-token by rank-synchronous merging.
 
     All pre-tokens lie end to end in one ragged array.  In each round every
@@ -92,11 +155,9 @@ def merged_sizes(vocabulary: Vocabulary, pieces: list[str]) -> np.ndarray:
     """
     if not pieces:
         return np.zeros(0, np.int64)
-    rows = [vocabulary.symbols(p) for p in pieces]
-    size = np.array([len(r) for r in rows], np.int64)
+    sym, size = vocabulary.symbols(pieces)
     out = size.copy()
-    sym = np.fromiter((s for r in rows for s in r), np.int64, int(size.sum()))
-    seq = np.repeat(np.arange(len(rows)), size)
+    seq = np.repeat(np.arange(len(pieces)), size)
     while len(sym) > 1:
         same = seq[:-1] == seq[1:]
         rank = np.where(same, vocabulary.ranks(sym[:-1], sym[1:]), NO_RANK)
@@ -115,77 +176,89 @@ def merged_sizes(vocabulary: Vocabulary, pieces: list[str]) -> np.ndarray:
         keep = np.ones(len(sym), bool)
         keep[at + 1] = False
         # finished sequences leave the array
-        alive = np.zeros(len(rows), bool)
+        alive = np.zeros(len(pieces), bool)
         alive[seq[at]] = True
-        np.subtract.at(out, seq[at], 1)
+        out -= np.bincount(seq[at], minlength=len(out))
         keep &= alive[seq]
         sym, seq = sym[keep], seq[keep]
     return out
 
 
-def merged_ids(vocabulary: Vocabulary, pieces: list[str]) -> list[list[int]]:
-    """Token ids of each pre-token by a segment tree over its adjacent pair ranks.
+def merged_ids(vocabulary: Vocabulary, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all pre-tokens end to end, and their numbers, by a segment tree over adjacent pair ranks.
 
     A leaf holds ``rank * capacity + place`` of the pair that begins at its place,
     so the root is the leftmost pair of the lowest rank.  A merge updates three
     leaves and their paths to the root.  Trees of one capacity are rows of a
     matrix and take their steps together; a row leaves when its root is empty.
     """
-    out: list[list[int]] = [[] for _ in pieces]
-    by_size: dict[int, list[int]] = {}
-    rows = [vocabulary.symbols(p) for p in pieces]
-    for k, row in enumerate(rows):
-        if len(row) < 2:
-            out[k] = row
-        else:
-            by_size.setdefault(1 << max(2, (len(row) - 1).bit_length()), []).append(k)
-    for cap, members in by_size.items():
-        step = max(1, (1 << 21) // cap)
+    if not pieces:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    flat, size = vocabulary.symbols(pieces)
+    begin = np.cumsum(size) - size
+    caps = 1 << np.maximum(2, np.ceil(np.log2(size)).astype(np.int64))
+    out = flat.copy()
+    count = size.copy()
+    for cap in np.unique(caps[size > 1]).tolist():
+        members = np.flatnonzero((caps == cap) & (size > 1))
+        step = max(1, (1 << 17) // cap)
         for at in range(0, len(members), step):
             part = members[at : at + step]
-            for k, ids in zip(part, _trees(vocabulary, [rows[k] for k in part], cap), strict=True):
-                out[k] = ids
-    return out
-
-
-def _trees(vocabulary: Vocabulary, rows: list[list[int]], cap: int) -> list[list[int]]:
-    n = len(rows)
-    size = np.array([len(r) for r in rows], np.int64)
-    sym = np.full((n, cap + 1), -1, np.int64)
-    sym[np.repeat(np.arange(n), size), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)] = np.fromiter((s for r in rows for s in r), np.int64, int(size.sum()))
-    after = np.tile(np.arange(1, cap + 2), (n, 1))
-    before = np.tile(np.arange(-1, cap), (n, 1))
-    tree = np.full((n, 2 * cap), NO_RANK * cap, np.int64)
+            n = size[part]
+            row = np.repeat(np.arange(len(part)), n)
+            column = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            sym = np.full((len(part), cap + 1), -1, np.int32)
+            sym[row, column] = flat[begin[part][row] + column]
+            _merge_trees(vocabulary, sym, cap)
+            left = sym >= 0
+            count[part] = n = left.sum(1)
+            row = np.repeat(np.arange(len(part)), n)
+            column = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            out[begin[part][row] + column] = sym[left]
+    row = np.repeat(np.arange(len(pieces)), count)
+    return out[begin[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)], count
+
+
+def _merge_trees(vocabulary: Vocabulary, sym: np.ndarray, cap: int) -> None:
+    """Merge each row of ``sym`` (padded with -1) to its end; a merged pair stays at its left place, -1 at its right one."""
+    n = len(sym)
+    none = NO_RANK * cap
+    after = np.tile(np.arange(1, cap + 2, dtype=np.int32), (n, 1))
+    before = np.tile(np.arange(-1, cap, dtype=np.int32), (n, 1))
+    tree = np.full((n, 2 * cap), none, np.int64)
     rank = vocabulary.ranks(sym[:, :-1].ravel(), sym[:, 1:].ravel()).reshape(n, cap)
-    tree[:, cap:] = np.where(rank < NO_RANK, rank * cap + np.arange(cap), NO_RANK * cap)
+    tree[:, cap:] = np.where(rank < NO_RANK, rank * cap + np.arange(cap), none)
     for level in range(cap.bit_length() - 1, 0, -1):
         lo = 1 << (level - 1)
         tree[:, lo : 2 * lo] = np.minimum(tree[:, 2 * lo : 4 * lo : 2], tree[:, 2 * lo + 1 : 4 * lo : 2])
-    live = np.flatnonzero(tree[:, 1] < NO_RANK * cap)
+    live = np.flatnonzero(tree[:, 1] < none)
     while len(live):
         root = tree[live, 1]
         place = root % cap
         right = after[live, place]
-        sym[live, place] = vocabulary.made[root // cap]
+        now = vocabulary.made[root // cap]
+        sym[live, place] = now
         sym[live, right] = -1
         beyond = np.minimum(after[live, right], cap)
         after[live, place] = beyond
         before[live, beyond] = place
         prior = before[live, place]
-        _put(tree, live, right, np.full(len(live), NO_RANK * cap), cap)
-        rank = vocabulary.ranks(sym[live, place], sym[live, beyond])
-        _put(tree, live, place, np.where(rank < NO_RANK, rank * cap + place, NO_RANK * cap), cap)
+        there = np.maximum(prior, 0)
+        rank = vocabulary.ranks(np.r_[now, np.where(prior >= 0, sym[live, there], -1)], np.r_[sym[live, beyond], now])
+        own, last = rank[: len(live)], rank[len(live) :]
+        # the right part's pair is gone, the product's pair is new, and so is the pair before it
+        tree[live, right + cap] = none
+        tree[live, place + cap] = np.where(own < NO_RANK, own * cap + place, none)
         has = np.flatnonzero(prior >= 0)
-        if len(has):
-            rank = vocabulary.ranks(sym[live[has], prior[has]], sym[live[has], place[has]])
-            _put(tree, live[has], prior[has], np.where(rank < NO_RANK, rank * cap + prior[has], NO_RANK * cap), cap)
-        live = live[tree[live, 1] < NO_RANK * cap]
-    return [r[r >= 0].tolist() for r in sym]
+        tree[live[has], prior[has] + cap] = np.where(last[has] < NO_RANK, last[has] * cap + prior[has], none)
+        _climb(tree, live, right, cap)
+        _climb(tree, live, place, cap)
+        _climb(tree, live[has], prior[has], cap)
+        live = live[tree[live, 1] < none]
 
 
-def _put(tree: np.ndarray, rows: np.ndarray, place: np.ndarray, value: np.ndarray, cap: int) -> None:
+def _climb(tree: np.ndarray, rows: np.ndarray, place: np.ndarray, cap: int) -> None:
     node = place + cap
-    tree[rows, node] = value
     while cap > 1:
         node = node >> 1
         tree[rows, node] = np.minimum(tree[rows, 2 * node], tree[rows, 2 * node + 1])
@@ -193,8 +266,9 @@ def _put(tree: np.ndarray, rows: np.ndarray, place: np.ndarray, value: np.ndarra
 
 
 _LOADED: dict[str, Vocabulary] = {}
-_SIZES: dict[str, dict[bytes, int]] = {}
-_IDS: dict[str, dict[bytes, tuple[bytes, bytes]]] = {}
+#: By path: the memo of chunks, and the one before it.
+_SIZES: dict[str, tuple[dict[bytes, int], dict[bytes, int]]] = {}
+_IDS: dict[str, tuple[dict[bytes, bytes], dict[bytes, bytes]]] = {}
 
 
 def vocabulary(path: str) -> Vocabulary:
@@ -203,51 +277,61 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def _missing(memo: dict, texts: list[list[bytes]]) -> list[bytes]:
-    found = set().union(*texts) if texts else set()
-    new = [c for c in found if c not in memo]
-    if new and len(memo) + len(new) > MEMO_ENTRIES:
-        memo.clear()
-        new = list(found)
-    return new
+def _missing(memos: dict, path: str, texts: list[list[bytes]]) -> tuple[dict, list[bytes]]:
+    """The memo, with what an older one has of the texts' chunks, and the chunks that neither has."""
+    memo, old = memos.get(path, ({}, {}))
+    found = set().union(*texts)
+    if len(memo) + len(found) > MEMO_ENTRIES:
+        memo, old = {}, memo
+    memos[path] = memo, old
+    new = []
+    for c in found:
+        if c not in memo:
+            if (have := old.get(c)) is None:
+                new.append(c)
+            else:
+                memo[c] = have
+    return memo, new
+
+
+def _split(v: Vocabulary, chunks: list[bytes]) -> tuple[list[list[bytes | int]], dict[bytes, int]]:
+    """The pieces of each chunk, and the distinct pieces' numbers."""
+    split = [v.pieces(c.decode()) for c in chunks]
+    place: dict[bytes, int] = {}
+    for pieces in split:
+        for p in pieces:
+            if p not in place and type(p) is bytes:
+                place[p] = len(place)
+    return split, place
 
 
 def chunk_sizes(path: str, texts: list[list[bytes]]) -> dict[bytes, int]:
     """The memo of chunk token counts, with all chunks of ``texts`` in it."""
-    v, memo = vocabulary(path), _SIZES.setdefault(path, {})
-    new = _missing(memo, texts)
-    split = [v.pieces(c.decode("utf-8")) for c in new]
-    place: dict[str, int] = {}
-    for pieces in split:
-        for p in pieces:
-            if type(p) is str:
-                place.setdefault(p, len(place))
-    size = merged_sizes(v, list(place)).tolist()
+    v = vocabulary(path)
+    memo, new = _missing(_SIZES, path, texts)
+    split, place = _split(v, new)
+    size = dict(zip(place, merged_sizes(v, list(place)).tolist(), strict=True))
     for c, pieces in zip(new, split, strict=True):
-        memo[c] = sum(size[place[p]] if type(p) is str else 1 for p in pieces)
+        memo[c] = size[pieces[0]] if len(pieces) == 1 and type(pieces[0]) is bytes else sum(size[p] if type(p) is bytes else 1 for p in pieces)
     return memo
 
 
-def chunk_ids(path: str, texts: list[list[bytes]]) -> dict[bytes, tuple[bytes, bytes]]:
-    """The memo of (ids as little-endian uint32, decoded text) of chunks, with all chunks of ``texts`` in it."""
-    v, memo = vocabulary(path), _IDS.setdefault(path, {})
-    new = _missing(memo, texts)
-    split = [v.pieces(c.decode("utf-8")) for c in new]
-    place: dict[str, int] = {}
-    for pieces in split:
-        for p in pieces:
-            if type(p) is str:
-                place.setdefault(p, len(place))
-    ids = merged_ids(v, list(place))
+def chunk_ids(path: str, texts: list[list[bytes]]) -> dict[bytes, bytes]:
+    """The memo of chunk ids (little-endian uint32), with all chunks of ``texts`` in it."""
+    v = vocabulary(path)
+    memo, new = _missing(_IDS, path, texts)
+    split, place = _split(v, new)
+    flat, count = merged_ids(v, list(place))
+    blob, ends = flat.astype("<u4").tobytes(), np.cumsum(4 * count).tolist()
+    ids = {p: blob[a:b] for p, a, b in zip(place, [0, *ends], ends, strict=False)}
     for c, pieces in zip(new, split, strict=True):
-        own = [i for p in pieces for i in (ids[place[p]] if type(p) is str else (p,))]
-        memo[c] = (np.array(own, "<u4").tobytes(), decode_ids(v, own).encode())
+        memo[c] = ids[pieces[0]] if len(pieces) == 1 and type(pieces[0]) is bytes else b"".join([ids[p] if type(p) is bytes else p.to_bytes(4, "little") for p in pieces])
     return memo
 
 
-def decode_ids(v: Vocabulary, ids: list[int]) -> str:
-    """The file names no decoder: tokens joined by one space; unknown ids are left out, as the library does."""
-    return " ".join(v.tokens[i] for i in ids if i in v.tokens)
+def decode_ids(v: Vocabulary, ids: bytes) -> bytes:
+    """The text of little-endian uint32 ids: the file names no decoder, so tokens are joined by one space."""
+    return b" ".join(map(v.names.__getitem__, memoryview(ids).cast("I")))
 
 
 def texts_of(block: pa.RecordBatch, text: str) -> list[list[bytes]]:
@@ -269,38 +353,37 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
+def encoded(path: str, texts: list[list[bytes]]) -> Iterator[bytes]:
+    """The ids of each text, as little-endian uint32."""
+    get = chunk_ids(path, texts).__getitem__
+    for t in texts:
+        yield b"".join(map(get, t))
+
+
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids, decoded) of every row: ids as little-endian uint32 in one binary, decoded as text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
         for block in common.blocks(batches, text):
-            ids, decoded = [], []
-            for parts in _encoded(path, texts_of(block, text)):
-                ids.append(b"".join([p[0] for p in parts]))
-                decoded.append(b" ".join([p[1] for p in parts if p[0]]))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.binary()), pa.array([d.decode() for d in decoded], pa.string())], names=[key, "ids", "decoded"])
+            ids = list(encoded(path, texts_of(block, text)))
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.binary()), pa.array([decode_ids(v, i).decode() for i in ids], pa.string())], names=[key, "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids binary, decoded string")
 
 
-def _encoded(path: str, texts: list[list[bytes]]) -> Iterator[list[tuple[bytes, bytes]]]:
-    memo = chunk_ids(path, texts)
-    for t in texts:
-        yield [memo[c] for c in t]
-
-
 def encode_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """What ``encode`` gives, as (key, n_tokens, ids_sha256, decoded_sha256)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = vocabulary(path)
         for block in common.blocks(batches, text):
             n, ids, decoded = [], [], []
-            for parts in _encoded(path, texts_of(block, text)):
-                own = b"".join([p[0] for p in parts])
+            for own in encoded(path, texts_of(block, text)):
                 n.append(len(own) // 4)
                 ids.append(hashlib.sha256(own).hexdigest())
-                decoded.append(hashlib.sha256(b" ".join([p[1] for p in parts if p[0]])).hexdigest())
+                decoded.append(hashlib.sha256(decode_ids(v, own)).hexdigest())
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[key].dataType.simpleString()
