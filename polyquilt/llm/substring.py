@@ -10,7 +10,8 @@ maximal removal intervals.  Windows are judged on the input.
    A passage of a third of all documents so sends one entry a block.
 2. Each range finds every window's smallest document and answers the other documents
    with the fingerprints to remove.
-3. Documents meet their answers by id and drop the covered words.
+   Answers travel packed: one row from each range to each part of the documents.
+3. Documents meet their answers in their part and drop the covered words.
 
 Fingerprints have 64 bits: with n distinct windows some two collide with a chance of
 about n * n / 3.7e19 (0.05 % at 1.4e8 windows).
@@ -37,7 +38,7 @@ from polyquilt.llm import common
 WIDTH = 13
 NULL_ID = (1 << 63) - 1
 #: Text bytes of a block of windows; and of a fingerprint range, from the input's size.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 RANGE_BYTES = 12 << 20
 
 
@@ -101,40 +102,52 @@ def _sent(width: int, ranges: int, key: str, text: str):
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one fingerprint range: (id, fingerprints to remove)."""
-    got: list[tuple[np.ndarray, np.ndarray]] = []
-    gone: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in batches:
-        for decided, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            (gone if decided else got).append(_unpack(payload.as_py()))
-    if got:
-        ids, h = (np.concatenate(x) for x in zip(*got, strict=True))
-        got.clear()
-        sort = np.argsort(h)
-        ids, h = ids[sort], h[sort]
-        new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
-        least = np.repeat(np.minimum.reduceat(ids, new), np.diff(np.r_[new, len(h)]))
-        late = ids > least
-        gone.append((ids[late], h[late]))
-        # what a block decided against its own documents stays decided; that is all its later documents need
-    if gone:
-        ids, h = (np.concatenate(x) for x in zip(*gone, strict=True))
-        sort = np.argsort(ids, kind="stable")
-        ids, h = ids[sort], h[sort]
-        edges = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
-        ends = np.r_[edges[1:], len(ids)]
-        for at in range(0, len(edges), 4096):
-            a, b = edges[at : at + 4096], ends[at : at + 4096]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array([h[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())], names=["id", "hashes"])
-
-
-def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed for their way to their answers."""
-    pack = zstandard.ZstdCompressor(level=3).compress
-    for batch in batches:
-        own = [pack((t or "").encode()) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.binary())], names=["key", "id", "z"])
+def _document_parts(ids: np.ndarray, parts: int) -> np.ndarray:
+    return (common.mix(ids.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
+def _answers(parts: int):
+    """Of one fingerprint range: for each part of the documents, the fingerprints that its documents lose."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list[tuple[np.ndarray, np.ndarray]] = []
+        gone: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            for decided, payload in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                (gone if decided else got).append(_unpack(payload.as_py()))
+        if got:
+            ids, h = (np.concatenate(x) for x in zip(*got, strict=True))
+            got.clear()
+            sort = np.argsort(h)
+            ids, h = ids[sort], h[sort]
+            new = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            least = np.repeat(np.minimum.reduceat(ids, new), np.diff(np.r_[new, len(h)]))
+            late = ids > least
+            gone.append((ids[late], h[late]))
+        if gone:
+            ids, h = (np.concatenate(x) for x in zip(*gone, strict=True))
+            part = _document_parts(ids, parts)
+            sort = np.lexsort((ids, part))
+            ids, h = ids[sort], h[sort]
+            edges = np.searchsorted(part[sort], np.arange(parts + 1))
+            own = np.flatnonzero(np.diff(edges))
+            packed = [_pack(ids[edges[k] : edges[k + 1]], h[edges[k] : edges[k + 1]]) for k in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(packed, pa.binary())], names=["part", "payload"])
+
+    return run
+
+
+def _squeezed(parts: int):
+    """Texts, compressed for their way to their answers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            part = _document_parts(common.longs(batch.column(1), NULL_ID), parts)
+            own = [pack((t or "").encode()) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(part.astype(np.int32)), pa.array(own, pa.binary())], names=["key", "id", "part", "payload"])
+
+    return run
 
 
 def removal_intervals(flags: np.ndarray, width: int) -> np.ndarray:
@@ -147,19 +160,35 @@ def removal_intervals(flags: np.ndarray, width: int) -> np.ndarray:
 
 
 def _kept(width: int):
+    """Of one part of the documents, its answers first: what the documents keep."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
+        answers: list[tuple[np.ndarray, np.ndarray]] = []
+        ids, gone = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for batch in batches:
+            document = np.asarray(batch.column(3).to_numpy(zero_copy_only=False), bool)
+            answers += [_unpack(x.as_py()) for x in batch.column(2).filter(pa.array(~document))]
+            batch = batch.filter(pa.array(document))
+            if not batch.num_rows:
+                continue
+            if answers:
+                ids, gone = (np.concatenate(x) for x in zip(*answers, strict=True))
+                answers = []
+                sort = np.argsort(ids, kind="stable")
+                ids, gone = ids[sort], gone[sort]
+            own = common.longs(batch.column(1), NULL_ID)
+            first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
             n_words, n_removed, kept = [], [], []
-            for z, answers in zip(batch.column(1), batch.column(2), strict=True):
+            for z, a, b in zip(batch.column(2), first.tolist(), last.tolist(), strict=True):
                 text = unpack(z.as_py())
                 words = text.split()  # bytes split at [\x20\x09-\x0D]
                 n_words.append(len(words))
-                if answers.is_valid and len(words) >= width:
+                if b > a and len(words) >= width:
                     data = np.frombuffer(text, np.uint8)
                     h, _, _ = _windows(data, np.array([0, len(data)]), width)
-                    cover = removal_intervals(np.isin(h, np.frombuffer(b"".join(answers.as_py()), np.uint64)), width)
-                    words = [w for w, gone in zip(words, cover.tolist(), strict=True) if not gone]
+                    cover = removal_intervals(np.isin(h, gone[a:b]), width)
+                    words = [w for w, out in zip(words, cover.tolist(), strict=True) if not out]
                 n_removed.append(n_words[-1] - len(words))
                 kept.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["key", "n_words", "n_removed", "kept"])
@@ -167,20 +196,21 @@ def _kept(width: int):
     return run
 
 
-def removed_windows(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, hashes): fingerprints of the windows that documents lose, several rows a document."""
-    n = ranges_for(docs)
-    sent = docs.select(F.col(key).cast("long"), text).mapInArrow(_sent(width, n, key, text), "part int, decided boolean, payload binary")
-    return sent.repartitionById(n, F.col("part")).mapInArrow(_answers, "id bigint, hashes binary")
+def removed_windows(docs: DataFrame, parts: int, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(part, payload): ids and fingerprints of the windows that the documents of a part lose, packed; a row from each range."""
+    sent = docs.select(F.col(key).cast("long"), text).mapInArrow(_sent(width, parts, key, text), "part int, decided boolean, payload binary")
+    return sent.repartitionById(parts, F.col("part")).mapInArrow(_answers(parts), "part int, payload binary")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, n_words, n_removed, kept) of every row: kept words joined by one space."""
-    answers = common.cut(removed_windows(docs, key, text, width)).groupBy("id").agg(F.collect_list("hashes").alias("answers"))
-    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text).alias("t"))
+    parts = ranges_for(docs)
+    answers = common.cut(removed_windows(docs, parts, key, text, width))
+    own = docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     kind = own.schema["key"].dataType.simpleString()
-    own = own.mapInArrow(_squeezed, f"key {kind}, id bigint, z binary")
-    met = own.join(answers, "id", "left").select("key", "z", "answers")
+    own = own.mapInArrow(_squeezed(parts), f"key {kind}, id bigint, part int, payload binary").withColumn("document", F.lit(True))
+    both = own.unionByName(answers.withColumn("document", F.lit(False)), allowMissingColumns=True)
+    met = both.repartitionById(parts, F.col("part")).sortWithinPartitions("document").select("key", "id", "payload", "document")
     return met.mapInArrow(_kept(width), f"key {kind}, n_words bigint, n_removed bigint, kept string").withColumnRenamed("key", key)
 
 
