@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyquilt.llm import bpe, html, neardup, quality, substring, urls
+from polyquilt.llm import bpe, decontaminate, html, lines, neardup, packing, quality, substring, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_token_counts": bpe.op2_token_counts,
         "op3_substring_dedup": substring.op3_substring_dedup,
         "op4_quality_rules": quality.op4_quality_rules,
         "op5_url_filter": urls.op5_url_filter,
         "op6_minhash_neardup": neardup.op6_minhash_neardup,
+        "op7_line_dedup": lines.op7_line_dedup,
+        "op8_token_packing": packing.op8_token_packing,
         "op9_html_extract": html.op9_html_extract,
         "op10_bpe": bpe.op10_bpe,
     }
