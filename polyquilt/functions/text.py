@@ -126,13 +126,18 @@ def combo_k(name: str) -> int:
 
 
 def legacy_k(name: str) -> int:
-    """k of an older record name: its type codes' multiplicities added up."""
-    m = re.fullmatch(r"eu_(raw_)?((?:[3-6][a-u][0-9]*_)+)([0-9]+)", name) or re.fullmatch(r"eu_(?:([0-9]+)u_)((?:[0-9]+[a-z][0-9]*_)*)([0-9]+)", name)
-    if not m:
+    """k of an older record name: its type codes' multiplicities added up; the last part is an index."""
+    m = re.fullmatch(r"eu_(?:raw_)?((?:[^_]+_)+)[0-9]+", name)
+    codes = {t.code for t in catalog.vertex_types()}
+    k = 0
+    for part in m[1].rstrip("_").split("_") if m else ():
+        times = part[2:] or "1"
+        if part[:2] not in codes or not times.isdigit() or int(times) < 1:
+            raise ValueError(f"invalid legacy name {name!r}")
+        k += int(times)
+    if not 0 < k <= INT_MAX:
         raise ValueError(f"invalid legacy name {name!r}")
-    if m[1] and m[1].isdigit():
-        return int(m[1])
-    return sum(int(p[2:] or 1) for p in m[2].rstrip("_").split("_"))
+    return k
 
 
 def parse_range(spec: str, most: int = 20) -> list[int]:
