@@ -11,10 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from polyquilt.functions import catalog
+from polyquilt.functions import catalog, codec, geometry
+from polyquilt.functions.states import frame
 from polyquilt.operators import analytics as A
+from polyquilt.operators import canon, search
 from polyquilt.operators import reconcile as R
-from polyquilt.operators import search
+from polyquilt.sources import solutions, tilings
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -420,6 +422,89 @@ def top_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOP_ORDERS = "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10"
 
 
+# --- results, documents and lattices (class N: our own tests stand in for an oracle) ---
+
+
+def _lattices(spark: SparkSession, k_max: int) -> tuple[DataFrame, DataFrame]:
+    """Documents of all results up to ``k_max``, and their converted records; ids follow from the canonical code."""
+    found = search.unique(search.solutions(spark, k_max))
+    made = tilings.documents(found).withColumn("id", F.abs(F.xxhash64("document")) + 1)
+    own = made.select("id", "k", "combo", "signature", "document")
+    return own, tilings.convert(own, "0" * 64)
+
+
+def result_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertex lines, signatures and Conway texts of all results, k <= 3."""
+    return solutions.with_texts(search.unique(search.solutions(spark, 3))).drop("types", "glue", "code")
+
+
+def tiling_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lattices(spark, 3)[0]
+
+
+def lattice_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """exact lattices of all results, k <= 3, with the reason where there is none."""
+    return _lattices(spark, 3)[1].drop("stable_id")
+
+
+def geometry_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F57 over developed records: how many pass, by k."""
+    checked = tilings.check(_lattices(spark, 2)[1].drop("error"))
+    return checked.groupBy("k").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("valid"))
+
+
+GEOMETRY_VALIDATE = "SELECT k::INTEGER AS k, n::BIGINT AS n, n::BIGINT AS valid FROM (VALUES (1, 10), (2, 20)) v(k, n)"
+
+
+def catalog_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + A17: every record against turned, reflected copies of all: each must match itself alone."""
+    own = _lattices(spark, 2)[1].select(F.col("id").cast("string").alias("id"), "k", "t1", "t2", "seeds")
+
+    @F.udf("struct<t1: array<bigint>, t2: array<bigint>, seeds: array<array<bigint>>>")
+    def turned(t1, t2, seeds):  # noqa: ANN001, ANN202
+        r = geometry.image(geometry.Record(tuple(t1), tuple(t2), tuple(map(tuple, seeds))), 1, True)
+        return list(r.t2), list(r.t1), [list(s) for s in r.seeds]
+
+    other = own.select("id", "k", turned("t1", "t2", "seeds").alias("r")).select("id", "k", "r.*")
+    return tilings.matches(own, other).groupBy("status").agg(F.count("*").alias("n"))
+
+
+CATALOG_MATCH = "SELECT 'matched' AS status, 30::BIGINT AS n"
+
+
+def wl_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique results by WL hash and isomorphism."""
+    return solutions.wl_unique(search.solutions(spark, 3).filter("minimal")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+def word_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unique results by breadth-first word."""
+    return solutions.word_unique(search.solutions(spark, 3).filter("minimal")).groupBy("k").agg(F.count("*").alias("n"))
+
+
+def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G7 of every type's initial state."""
+    rows = [(t.symbol, canon.stable_id(frame((t.type_id,)), [-1] * t.slots).hex()) for t in catalog.vertex_types()]
+    return spark.createDataFrame(rows, "symbol string, stable_id string").filter("symbol = '(3,12,12)A'")
+
+
+STABLE_IDS = "SELECT '(3,12,12)A' AS symbol, '8f9e3b66cd530bb42e0fd8c91f3d4d70942b11e52933f27bfb49408e956a94de' AS stable_id"
+
+
+def codec_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records through the byte codec: how many come back as they were."""
+
+    @F.udf("boolean")
+    def same(t1, t2, seeds):  # noqa: ANN001, ANN202
+        r = geometry.Record(tuple(t1), tuple(t2), tuple(map(tuple, seeds)))
+        return codec.decode_record(codec.encode_record(r)) == r
+
+    return _lattices(spark, 2)[1].groupBy("k").agg(F.count("*").alias("n"), F.count_if(same("t1", "t2", "seeds")).alias("same"))
+
+
+CODEC_ROUNDTRIP = "SELECT k::INTEGER AS k, n::BIGINT AS n, n::BIGINT AS same FROM (VALUES (1, 10), (2, 20)) v(k, n)"
+
+
 def on_members(f: Callable[[DataFrame], DataFrame]) -> Query:
     return lambda spark, sf_dir: f(_members(spark, sf_dir))
 
@@ -427,6 +512,15 @@ def on_members(f: Callable[[DataFrame], DataFrame]) -> Query:
 ALL: dict[str, tuple[Query, str | None]] = {
     **{f"enum_counts_k{k}": (enum_counts(k), enum_counts_sql(k)) for k in (1, 2, 3, 4, 5)},
     "enum_combo_counts": (enum_combo_counts, None),
+    "wl_dedup": (wl_dedup, enum_counts_sql(3)),
+    "word_dedup": (word_dedup, enum_counts_sql(3)),
+    "result_texts": (result_texts, None),
+    "tiling_documents": (tiling_documents, None),
+    "lattice_records": (lattice_records, None),
+    "geometry_validate": (geometry_validate, GEOMETRY_VALIDATE),
+    "catalog_match": (catalog_match, CATALOG_MATCH),
+    "codec_roundtrip": (codec_roundtrip, CODEC_ROUNDTRIP),
+    "stable_ids": (stable_ids, STABLE_IDS),
     "catalog_slot_stats": (catalog_slot_stats, SLOT_STATS),
     "catalog_attach_buckets": (catalog_attach_buckets, ATTACH),
     "catalog_seam_pairs": (catalog_seam_pairs, SEAMS),
