@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from polyquilt.llm import common
@@ -29,6 +30,10 @@ from polyquilt.llm import common
 #: Entries of a worker's chunk memo; when it is full it becomes the older memo, which is asked before work is done anew.
 MEMO_ENTRIES = 600_000
 NO_RANK = np.int64(1) << 40
+#: Marks that never join a contraction.
+MARKS = frozenset((b".", b",", b"!", b"?", b";", b":"))
+#: Text bytes of a block.
+BLOCK_BYTES = 8 << 20
 
 
 def byte_signs() -> str:
@@ -116,8 +121,13 @@ class Vocabulary:
             out[won] = self.rank[slot[won]]
         return out
 
-    def pieces(self, chunk: str) -> list[bytes | int]:
+    def pieces(self, raw: bytes) -> list[bytes | int]:
         """The pre-tokens of a chunk as UTF-8 bytes; a special token as its id."""
+        if raw.isalpha():  # ASCII letters alone are one pre-token, and so are those before a mark
+            return [raw.lower()]
+        if raw[-1:] in MARKS and raw[:-1].isalpha():
+            return [raw[:-1].lower(), raw[-1:]]
+        chunk = raw.decode()
         if self.special and self.prefix in chunk:
             out: list[bytes | int] = []
             for part in self.split.split(chunk):
@@ -277,10 +287,22 @@ def vocabulary(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def _missing(memos: dict, path: str, texts: list[list[bytes]]) -> tuple[dict, list[bytes]]:
-    """The memo, with what an older one has of the texts' chunks, and the chunks that neither has."""
+class Chunks:
+    """The chunks of a block's texts: distinct ones, which of them each place holds, and the texts' offsets into the places."""
+
+    def __init__(self, column: pa.Array):
+        if column.null_count:
+            column = column.fill_null("")
+        lists = pc.ascii_split_whitespace(column)  # at runs of [\x20\x09-\x0D]; a chunk at an end may be empty
+        self.offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        coded = pc.dictionary_encode(lists.flatten())
+        self.distinct: list[bytes] = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(coded.dictionary.type) else pa.binary()).to_pylist()
+        self.which = np.asarray(coded.indices)
+
+
+def _missing(memos: dict, path: str, found: list[bytes]) -> tuple[dict, list[bytes]]:
+    """The memo, with what an older one has of the chunks, and the chunks that neither has."""
     memo, old = memos.get(path, ({}, {}))
-    found = set().union(*texts)
     if len(memo) + len(found) > MEMO_ENTRIES:
         memo, old = {}, memo
     memos[path] = memo, old
@@ -296,7 +318,7 @@ def _missing(memos: dict, path: str, texts: list[list[bytes]]) -> tuple[dict, li
 
 def _split(v: Vocabulary, chunks: list[bytes]) -> tuple[list[list[bytes | int]], dict[bytes, int]]:
     """The pieces of each chunk, and the distinct pieces' numbers."""
-    split = [v.pieces(c.decode()) for c in chunks]
+    split = [v.pieces(c) for c in chunks]
     place: dict[bytes, int] = {}
     for pieces in split:
         for p in pieces:
@@ -305,28 +327,50 @@ def _split(v: Vocabulary, chunks: list[bytes]) -> tuple[list[list[bytes | int]],
     return split, place
 
 
-def chunk_sizes(path: str, texts: list[list[bytes]]) -> dict[bytes, int]:
-    """The memo of chunk token counts, with all chunks of ``texts`` in it."""
+def chunk_sizes(path: str, found: list[bytes]) -> list[int]:
+    """The token count of each of the distinct chunks."""
     v = vocabulary(path)
-    memo, new = _missing(_SIZES, path, texts)
+    memo, new = _missing(_SIZES, path, found)
     split, place = _split(v, new)
     size = dict(zip(place, merged_sizes(v, list(place)).tolist(), strict=True))
     for c, pieces in zip(new, split, strict=True):
         memo[c] = size[pieces[0]] if len(pieces) == 1 and type(pieces[0]) is bytes else sum(size[p] if type(p) is bytes else 1 for p in pieces)
-    return memo
+    return list(map(memo.__getitem__, found))
 
 
-def chunk_ids(path: str, texts: list[list[bytes]]) -> dict[bytes, bytes]:
-    """The memo of chunk ids (little-endian uint32), with all chunks of ``texts`` in it."""
+def chunk_ids(path: str, found: list[bytes]) -> list[bytes]:
+    """The ids (little-endian uint32) of each of the distinct chunks."""
     v = vocabulary(path)
-    memo, new = _missing(_IDS, path, texts)
+    memo, new = _missing(_IDS, path, found)
     split, place = _split(v, new)
     flat, count = merged_ids(v, list(place))
     blob, ends = flat.astype("<u4").tobytes(), np.cumsum(4 * count).tolist()
     ids = {p: blob[a:b] for p, a, b in zip(place, [0, *ends], ends, strict=False)}
     for c, pieces in zip(new, split, strict=True):
         memo[c] = ids[pieces[0]] if len(pieces) == 1 and type(pieces[0]) is bytes else b"".join([ids[p] if type(p) is bytes else p.to_bytes(4, "little") for p in pieces])
-    return memo
+    return list(map(memo.__getitem__, found))
+
+
+def count_texts(path: str, column: pa.Array) -> np.ndarray:
+    """Tokens of each text of a column."""
+    chunks = Chunks(column)
+    size = np.array(chunk_sizes(path, chunks.distinct) or [0], np.int64)
+    upto = np.r_[0, np.cumsum(size[chunks.which])]
+    return np.diff(upto[chunks.offsets])
+
+
+def encode_texts(path: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts of a column end to end (uint32), and the texts' offsets into them."""
+    chunks = Chunks(column)
+    parts = chunk_ids(path, chunks.distinct)
+    flat = np.frombuffer(b"".join(parts), "<u4")
+    size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+    begin = np.cumsum(size) - size
+    count = size[chunks.which]
+    upto = np.r_[0, np.cumsum(count)]
+    at = np.repeat(begin[chunks.which] - upto[:-1], count)
+    at += np.arange(len(at))
+    return flat[at], upto[chunks.offsets]
 
 
 def decode_ids(v: Vocabulary, ids: bytes) -> bytes:
@@ -334,18 +378,12 @@ def decode_ids(v: Vocabulary, ids: bytes) -> bytes:
     return b" ".join(map(v.names.__getitem__, memoryview(ids).cast("I")))
 
 
-def texts_of(block: pa.RecordBatch, text: str) -> list[list[bytes]]:
-    return [(t or "").encode().split() for t in block.column(block.schema.get_field_index(text)).to_pylist()]
-
-
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", limit: int = 2048) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) of every row; ``n_tokens > limit`` is over it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, text):
-            texts = texts_of(block, text)
-            memo = chunk_sizes(path, texts)
-            tokens = np.fromiter((sum(map(memo.__getitem__, t)) for t in texts), np.int64, len(texts))
+        for block in common.blocks(batches, text, BLOCK_BYTES):
+            tokens = count_texts(path, block.column(1))
             _, offsets = common.raw(block.column(1))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(tokens > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
@@ -353,11 +391,11 @@ def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
-def encoded(path: str, texts: list[list[bytes]]) -> Iterator[bytes]:
+def encoded(path: str, column: pa.Array) -> Iterator[bytes]:
     """The ids of each text, as little-endian uint32."""
-    get = chunk_ids(path, texts).__getitem__
-    for t in texts:
-        yield b"".join(map(get, t))
+    flat, offsets = encode_texts(path, column)
+    for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+        yield flat[a:b].tobytes()
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -365,8 +403,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for block in common.blocks(batches, text):
-            ids = list(encoded(path, texts_of(block, text)))
+        for block in common.blocks(batches, text, BLOCK_BYTES):
+            ids = list(encoded(path, block.column(1)))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(ids, pa.binary()), pa.array([decode_ids(v, i).decode() for i in ids], pa.string())], names=[key, "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
@@ -378,9 +416,9 @@ def encode_digest(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for block in common.blocks(batches, text):
+        for block in common.blocks(batches, text, BLOCK_BYTES):
             n, ids, decoded = [], [], []
-            for own in encoded(path, texts_of(block, text)):
+            for own in encoded(path, block.column(1)):
                 n.append(len(own) // 4)
                 ids.append(hashlib.sha256(own).hexdigest())
                 decoded.append(hashlib.sha256(decode_ids(v, own)).hexdigest())

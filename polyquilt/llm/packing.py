@@ -12,8 +12,10 @@ layout does not depend on file splits.  In a block:
 * each bin becomes a row of ``capacity`` ids, padded with ``pad``.
 
 A row carries ``doc_ids`` and ``pieces`` (whose segment, which piece), ``cu_seqlens``
-(0, then the end of each segment) and ``positions``, which restart at 0 in each segment
-(0 in the padding).  Rows of a document, by piece, give its ids back.
+(0, then the end of each segment), and the matrix row in ``ids`` and ``positions``: 4-byte
+and 2-byte little-endian unsigned integers in binary columns, which NumPy reads as they are
+(``matrix``).  Positions restart at 0 in each segment (0 in the padding).  Rows of a
+document, by piece, give its ids back.
 
 null and empty texts have no tokens and no segment; a null id is carried along;
 repeated rows are packed each by itself; other columns are ignored.
@@ -87,8 +89,10 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 def _tokenised(path: str, width: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in common.blocks(batches, "text"):
-            own = [np.frombuffer(ids, "<u4").astype(width).tobytes() for ids in bpe.encoded(path, bpe.texts_of(block, "text"))]
+        for block in common.blocks(batches, "text", bpe.BLOCK_BYTES):
+            flat, offsets = bpe.encode_texts(path, block.column(2))
+            flat = flat.astype(width)
+            own = [flat[a:b].tobytes() for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), pa.array(own, pa.binary())], names=["block", "key", "ids"])
 
     return run
@@ -105,10 +109,10 @@ def _packed(capacity: int, pad: int, width: str, kind: pa.DataType):
         order[rank] = np.arange(len(key))
         pieces.sort(key=lambda p: (-p[0], order[p[1]], p[2]))
         bins = best_fit([p[0] for p in pieces], capacity)
-        matrix = np.full((len(bins), capacity), pad, np.int32)
-        places = np.zeros((len(bins), capacity), np.int32)
+        matrix = np.full((len(bins), capacity), pad, "<u4")
+        places = np.zeros((len(bins), capacity), "<u2")
         who, which, ends, used = [], [], [], []
-        steps = np.arange(capacity, dtype=np.int32)
+        steps = np.arange(capacity, dtype="<u2")
         for row, members in enumerate(bins):
             at, cu = 0, [0]
             for n, k, piece in (pieces[m] for m in members):
@@ -120,7 +124,6 @@ def _packed(capacity: int, pad: int, width: str, kind: pa.DataType):
             which.append([pieces[m][2] for m in members])
             ends.append(cu)
             used.append(at)
-        offsets = pa.array(np.arange(len(bins) + 1, dtype=np.int32) * capacity)
         return pa.table(
             {
                 "block": pa.array([block] * len(bins), pa.int32()),
@@ -129,21 +132,28 @@ def _packed(capacity: int, pad: int, width: str, kind: pa.DataType):
                 "doc_ids": pa.array(who, pa.list_(kind)),
                 "pieces": pa.array(which, pa.list_(pa.int32())),
                 "cu_seqlens": pa.array(ends, pa.list_(pa.int32())),
-                "ids": pa.ListArray.from_arrays(offsets, pa.array(matrix.ravel())),
-                "positions": pa.ListArray.from_arrays(offsets, pa.array(places.ravel())),
+                "ids": pa.array([r.tobytes() for r in matrix], pa.binary()),
+                "positions": pa.array([r.tobytes() for r in places], pa.binary()),
             }
         )
 
     return run
 
 
+def matrix(rows: list[bytes], kind: str = "<u4") -> np.ndarray:
+    """The ids (or, with ``<u2``, positions) of packed rows as a matrix."""
+    return np.stack([np.frombuffer(r, kind) for r in rows]) if rows else np.zeros((0, 0), kind)
+
+
 def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, pad: int = 0, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """(block, pack, n_tokens, doc_ids, pieces, cu_seqlens, ids, positions): the packed rows."""
+    if not 0 < capacity <= 65536:
+        raise ValueError("capacity must fit two-byte positions")
     blocks = max(1, math.ceil(docs.count() / block_docs))
     width = "<u2" if bpe.vocabulary(path).base < 1 << 16 else "<u4"
     own = docs.select(F.pmod(F.xxhash64(key, F.length(text)), F.lit(blocks)).cast("int").alias("block"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     tokens = own.mapInArrow(_tokenised(path, width), "block int, key bigint, ids binary").filter(F.length("ids") > 0)
-    schema = "block int, pack int, n_tokens int, doc_ids array<bigint>, pieces array<int>, cu_seqlens array<int>, ids array<int>, positions array<int>"
+    schema = "block int, pack int, n_tokens int, doc_ids array<bigint>, pieces array<int>, cu_seqlens array<int>, ids binary, positions binary"
     return tokens.groupBy("block").applyInArrow(_packed(capacity, pad, width, pa.int64()), schema)
 
 

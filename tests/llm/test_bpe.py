@@ -1,6 +1,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -18,10 +19,11 @@ def expect(text):
 
 
 def both(text):
-    chunks = [text.encode().split()]
-    size = bpe.chunk_sizes(PATH, chunks)
-    ids = next(bpe.encoded(PATH, chunks))
-    return sum(size[c] for c in chunks[0]), np.frombuffer(ids, "<u4").tolist(), bpe.decode_ids(bpe.vocabulary(PATH), ids).decode()
+    column = pa.array([text, None, text])
+    n, _, again = bpe.count_texts(PATH, column).tolist()
+    ids, none, same = bpe.encoded(PATH, column)
+    assert n == again and ids == same and none == b""
+    return n, np.frombuffer(ids, "<u4").tolist(), bpe.decode_ids(bpe.vocabulary(PATH), ids).decode()
 
 
 @settings(max_examples=300, deadline=None)
