@@ -42,10 +42,12 @@ BLOCK_BYTES = 3 << 20
 RANGE_BYTES = 12 << 20
 
 
-def ranges_for(docs: DataFrame) -> int:
-    """So many fingerprint ranges that one holds a bounded share of the input, by the scan's own size estimate."""
+def ranges_for(docs: DataFrame, text: str = "text") -> int:
+    """So many fingerprint ranges that one holds a bounded share of the input, by the scan's size estimate; where Spark has none, the texts are measured."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(1 << 20, math.ceil(size / RANGE_BYTES)))
+    if size >= 1 << 60:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / RANGE_BYTES))
 
 
 def _windows(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +206,7 @@ def removed_windows(docs: DataFrame, parts: int, key: str = "doc_id", text: str
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
     """(key, n_words, n_removed, kept) of every row: kept words joined by one space."""
-    parts = ranges_for(docs)
+    parts = ranges_for(docs, text)
     answers = common.cut(removed_windows(docs, parts, key, text, width))
     own = docs.select(F.col(key).alias("key"), F.col(key).cast("long").alias("id"), F.col(text).alias("t"))
     kind = own.schema["key"].dataType.simpleString()
