@@ -25,4 +25,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_substring_dedup": substring.oracle_sql(), "op4_quality_rules": quality.oracle_sql()}
+    return {
+        "op3_substring_dedup": substring.oracle_sql(),
+        "op4_quality_rules": quality.oracle_sql(),
+        "op5_url_filter": urls.oracle_sql(),
+        "op6_minhash_neardup": neardup.oracle_sql(),
+    }

@@ -152,3 +152,30 @@ def best_threshold(bins: list[tuple[int, int, int]]) -> int:
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on every url of ``pages``."""
     return judge(common.read(spark, sf_dir, "pages").select("page_id", "url"))
+
+
+def oracle_sql(rules: tuple[UrlRule, ...] = RULES) -> str:
+    fits = {r: f"(host = '{r.host}' OR suffix(host, '.{r.host}')) AND starts_with(path, '{r.path}')" for r in sorted(rules, key=lambda r: -len(r.name))}
+    name = "CASE " + " ".join(f"WHEN {c} THEN '{r.name}'" for r, c in fits.items()) + " END"
+    allow = "CASE " + " ".join(f"WHEN {c} THEN {str(r.allow).lower()}" for r, c in fits.items()) + " END"
+    upper, lower = _ASCII_LOWER
+    odds = lambda s: f"ln((t.{s} + {BETA} * ((c1.{s} + {BETA} * ((c0.{s} + {BETA / 53!r}) / (n.{s} + {BETA}))) / (x1.{s} + {BETA}))) / (x2.{s} + {BETA}))"
+    sums = "sum(yes)::DOUBLE AS yes, sum(no)::DOUBLE AS no"
+    return rf"""
+    WITH p AS (SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS s FROM pages),
+    h AS (SELECT *, CASE WHEN s > 0 THEN substr(url, s + 3) ELSE '' END AS rest FROM p),
+    k AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{upper}', '{lower}') AS host, regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM h),
+    own AS (SELECT *, {name} AS rule, {allow} AS by_rule, substr(md5(url), 1, 1) IN {HELD_OUT} AS held,
+      '^^' || regexp_replace(regexp_replace(translate(url, '{upper}', '{lower}'), '[0-9]', '0', 'g'), '[^a-z0\-._~:/?#\[\]@!$&''()*+,;=%]', '^', 'g') AS u FROM k),
+    g AS (SELECT u, substr(u, i, 3) AS g, yes, no FROM (SELECT u, unnest(range(1, length(u) - 1)) AS i, (NOT held AND coalesce(by_rule, false))::INT AS yes, (NOT held AND NOT coalesce(by_rule, true))::INT AS no FROM own)),
+    t AS (SELECT g, substr(g, 3, 1) AS c, substr(g, 2, 1) AS a, substr(g, 1, 2) AS ba, {sums} FROM g GROUP BY g),
+    c0 AS (SELECT c, {sums} FROM t GROUP BY c), c1 AS (SELECT a, c, {sums} FROM t GROUP BY a, c), x1 AS (SELECT a, {sums} FROM t GROUP BY a), x2 AS (SELECT ba, {sums} FROM t GROUP BY ba), n AS (SELECT {sums} FROM t),
+    score AS (SELECT t.g, round(({odds("yes")} - {odds("no")}) * 1000000)::BIGINT AS score FROM t JOIN c0 USING (c) JOIN c1 USING (a, c) JOIN x1 USING (a) JOIN x2 USING (ba), n),
+    llr AS (SELECT u, floor(sum(score) / count(*))::BIGINT AS llr FROM (SELECT u, unnest(range(1, length(u) - 1)) AS i FROM (SELECT DISTINCT u FROM own)) JOIN score ON score.g = substr(u, i, 3) GROUP BY u),
+    bins AS (SELECT floor(llr / {GRID}) AS b, count(*) FILTER (by_rule) AS y, count(*) FILTER (NOT by_rule) AS n FROM own JOIN llr USING (u) WHERE held AND by_rule IS NOT NULL GROUP BY b),
+    cuts AS (SELECT b, sum(y) OVER () AS yes, sum(n) OVER () AS no, coalesce(sum(y) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS byes, coalesce(sum(n) OVER (ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bno FROM bins),
+    ranked AS (SELECT b, (yes - byes) * no + bno * yes AS hits FROM cuts WHERE yes > 0 AND no > 0 UNION ALL SELECT max(b) + 1, max(no) * max(yes) FROM cuts WHERE yes > 0 AND no > 0),
+    threshold AS (SELECT coalesce((SELECT b FROM ranked WHERE hits IS NOT NULL ORDER BY hits DESC, b LIMIT 1), 0) * {GRID} AS least)
+    SELECT page_id, host, path, rule, CASE WHEN coalesce(by_rule, coalesce(llr, 0) >= least) THEN 'allow' ELSE 'block' END AS verdict, CASE WHEN by_rule IS NULL THEN coalesce(llr, 0) END AS score
+    FROM own LEFT JOIN llr USING (u), threshold
+    """
