@@ -46,7 +46,7 @@ def floor_lookup(points: DataFrame, key: str, starts: DataFrame, start: str) ->
     """
     from pyspark.sql import Window as W
 
-    width = 1024
+    width = 1 << 16
     s = starts.select(F.col(start).alias("at")).distinct().withColumn("bucket", F.floor(F.col("at") / width))
     tops = s.groupBy("bucket").agg(F.max("at").alias("top"))
     p = points.withColumn("bucket", F.floor(F.col(key) / width))
