@@ -50,7 +50,8 @@ def cut(df: DataFrame) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     del df
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # Spark drops a plan's shuffle files once the driver has collected the plan
+        spark.sparkContext._jvm.System.gc()
     return out
 
 

@@ -16,7 +16,7 @@ from polyquilt.llm import common
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u's neighbours.  The rebalanced side lets a hub's rows be split in the join."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
-    return edges.join(least, "u")
+    return edges.join(least.hint("merge"), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
