@@ -104,7 +104,9 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass all rules, with the columns they came with."""
     held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
-    return measure(held, "_text").filter(~_fails(BASE) & ~_fails(RULES)).select("_row.*")
+    # the filter must not sink below the projections that it needs, where each would be written out and evaluated many times
+    stays = F.monotonically_increasing_id() >= 0
+    return measure(held, "_text").withColumn("_stays", ~_fails(BASE) & ~_fails(RULES) & stays).filter("_stays").select("_row.*")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
