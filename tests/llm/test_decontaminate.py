@@ -64,3 +64,27 @@ def test_blocks_of_items_give_the_same(spark, hard_docs, prose, monkeypatch):
     want = sorted(map(str, D.matches(hard_docs, bench).collect()))
     monkeypatch.setattr(D, "BLOCK_ITEMS", 2)
     assert sorted(map(str, D.matches(hard_docs, bench).collect())) == want
+
+
+def edited(words, kind, rnd):
+    """``words`` after as many edits as an item of their number may have, each at another place."""
+    words = list(words)
+    for p in sorted(rnd.sample(range(len(words)), len(words) * D.EDITS_PERCENT // 100), reverse=True):
+        words[p : p + 1] = {"deleted": [], "swapped": ["edited"], "added": [words[p], "added"]}[kind if kind != "mixed" else rnd.choice(["deleted", "swapped", "added"])]
+    return words
+
+
+def test_all_width_classes_at_the_most_edits(prose):
+    """At 20 % edits of each kind nothing is missed, in items of each width class, short and long ones."""
+    rnd = random.Random(20)
+    sizes = [1, 3, 5, 7, 9, 10, 14, *[w + x for w in D.WIDTHS for x in (3, 6)], 640]
+    items = [prose(n, 30000 + n) for n in sizes]
+    index = D.Index(list(enumerate(items)))
+    for kind in ("deleted", "swapped", "added", "mixed"):
+        for k, item in enumerate(items):
+            texts = [" ".join([prose(rnd.randrange(60), rnd.random()), *edited(item.split(), kind, rnd), prose(20, rnd.random())]) for _ in range(4)]
+            blob = [t.encode() for t in texts]
+            got = index.search(np.frombuffer(b"".join(blob), np.uint8), np.r_[0, np.cumsum([len(b) for b in blob])])
+            assert [t for t in range(4) if (t, k) in got] == [0, 1, 2, 3], (kind, sizes[k])
+            if sizes[k] < 70:
+                assert got[0, k] == edit_distance(item.split(), texts[0].split())
