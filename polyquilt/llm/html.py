@@ -4,17 +4,20 @@
    the class and id words that are not numbers); pages of one host share a tree of
    styles.  For each style a page contributes one content fingerprint (all its text
    there) and one presentation fingerprint (the sequence of child tags).
-2. Spark counts these by (host, style): over the m pages that show a style, its
+2. Spark counts these by (host, style), pages of a host with the same article text (by
+   markup alone) as one, so that copies do not make an article look like a menu: over the
+   m distinct pages that show a style, its
    importance is the larger of the entropies (base m) of its contents and of its
    presentations, or 1 on a single page.  A style is *low* if it is on ``MIN_PAGES``
-   pages or more and its importance is under ``LEAST``.
+   distinct pages or more and its importance is under ``LEAST``.
 3. Each page drops the branches of low styles, and those that markup itself names as
    not the article (navigation, footers, forms, adverts, comments, ...), and gives the
    text of what is left: inside ``article`` or ``main`` if the page has one, else of
-   its body.  A style that holds the page's article is never low.
+   its body.  A style that holds the page's article, or most of the article's text, is
+   never low.
 
-Texts of one host are counted map-side first, so a host with a third of all pages
-sends one row a style, fingerprint and block.  The table of low styles is broadcast
+Copies are merged map-side first, so a host whose pages are mostly copies sends one row
+an article and block.  The table of low styles is broadcast
 only if its measured size is under ``BROADCAST_BYTES``; else pages meet it by host.
 
 null and empty html give an empty text; null URLs form one site; broken markup is read
@@ -199,7 +202,7 @@ def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
         mains = [a for a in articles if a.tag == "main"]
         articles = mains or articles
     tops = articles or [root]
-    safe = set()
+    safe = set(_most(articles, low)) if low else set()
     for top in tops:
         while top is not None:
             safe.add(top.style)
@@ -235,26 +238,50 @@ def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
     return "\n".join(out)
 
 
+def _most(articles: list[Node], low: frozenset[str]) -> list[str]:
+    """The low styles that hold most of the text of ``articles``."""
+    whole, held = 0, Counter()
+    for top in articles:
+        todo: list[tuple[Node, tuple[str, ...]]] = [(top, ())]
+        while todo:
+            node, under = todo.pop()
+            for c in node.children:
+                if type(c) is str:
+                    size = len("".join(c.split()))
+                    whole += size
+                    for style in under:
+                        held[style] += size
+                elif not c.low:
+                    todo.append((c, (*under, c.style) if c.style in low and c.style not in under else under))
+    return [style for style, size in held.items() if 2 * size > whole]
+
+
 def _shown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, style, kind, mark, n): pages of a block that show a style with a fingerprint."""
+    """(host, article, n, shown): a block's pages by the fingerprint of their article text, and the least (style, content, shape) list of each."""
+    kind = pa.list_(pa.struct([("style", pa.string()), ("content", pa.int64()), ("shape", pa.int64())]))
     for block in common.blocks(batches, "html", 8 << 20):
-        seen: Counter = Counter()
+        seen: dict[tuple[str | None, bytes], list] = {}
         for host, html in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), strict=True):
             if html:
-                for style, (content, shape) in styles(parse(html)).items():
-                    seen[host, style, 0, content] += 1
-                    seen[host, style, 1, shape] += 1
-        rows = list(seen)
+                root = parse(html)
+                shown = sorted((style, *marks) for style, marks in styles(root).items())
+                article = hashlib.blake2b(main_text(root).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                held = seen.setdefault((host, article), [0, shown])
+                held[0] += 1
+                held[1] = min(held[1], shown)
+        names = ("style", "content", "shape")
         yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.int64()), pa.array(list(seen.values()), pa.int64())],
-            names=["host", "style", "kind", "mark", "n"],
+            [pa.array([h for h, _ in seen], pa.string()), pa.array([a for _, a in seen], pa.binary()), pa.array([n for n, _ in seen.values()], pa.int64()), pa.array([[dict(zip(names, s, strict=True)) for s in shown] for _, shown in seen.values()], kind)],
+            names=["host", "article", "n", "shown"],
         )
 
 
-def importance(pages: DataFrame) -> DataFrame:
-    """(host, style, pages, importance) of the styles of ``pages`` (host, html)."""
-    seen = pages.select("host", "html").mapInArrow(_shown, "host string, style string, kind int, mark bigint, n bigint")
-    counts = seen.groupBy("host", "style", "kind", "mark").agg(F.sum("n").alias("n"))
+def importance(pages: DataFrame, copies: bool = True) -> DataFrame:
+    """(host, style, pages, importance) of the styles of ``pages`` (host, html), each article counted as often as it is there, or once."""
+    seen = pages.select("host", "html").mapInArrow(_shown, "host string, article binary, n bigint, shown array<struct<style:string,content:bigint,shape:bigint>>")
+    seen = seen.groupBy("host", "article").agg((F.sum("n") if copies else F.lit(1).cast("bigint")).alias("n"), F.min("shown").alias("shown"))
+    seen = seen.select("host", "n", F.explode("shown").alias("s")).select("host", "n", "s.style", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("s.content").alias("mark")), F.struct(F.lit(1).alias("kind"), F.col("s.shape").alias("mark")))).alias("k"))
+    counts = seen.groupBy("host", "style", "k.kind", "k.mark").agg(F.sum("n").alias("n"))
     # entropy base m of p = n / m: log(m) - sum(n log n) / m, over log(m)
     by_kind = counts.groupBy("host", "style", "kind").agg(F.sum("n").alias("m"), F.sum(F.col("n") * F.log("n")).alias("s"))
     entropy = F.when(F.col("m") < 2, F.lit(1.0)).otherwise((F.log("m") - F.col("s") / F.col("m")) / F.log("m"))
@@ -263,7 +290,7 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def low_styles(pages: DataFrame, least: float = LEAST, min_pages: int = MIN_PAGES) -> DataFrame:
     """(host, low): each site's unimportant styles."""
-    found = importance(pages).filter((F.col("pages") >= min_pages) & (F.col("importance") < least))
+    found = importance(pages, copies=False).filter((F.col("pages") >= min_pages) & (F.col("importance") < least))
     return found.groupBy("host").agg(F.sort_array(F.collect_list("style")).alias("low"))
 
 

@@ -63,3 +63,25 @@ def test_large_style_tables_meet_pages_by_host(spark, monkeypatch):
     want = sorted(map(tuple, html.extract(pages).collect()))
     monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
     assert sorted(map(tuple, html.extract(pages).collect())) == want
+
+
+def article(k, chrome="About us"):
+    return f"<body><div>{chrome}</div><article><section>Share this story</section><h1>Title {k}</h1><p>Story {k} begins</p><p>and goes on {k * 7}</p></article></body>"
+
+
+@pytest.mark.parametrize("copies,others", [(8, 0), (40, 1), (83, 17)])
+def test_copies_of_one_page_keep_their_text(spark, copies, others):
+    """A host, or the site of all null URLs, that is mostly copies loses no article; exact copies and copies in other chrome alike."""
+    pages = [article(0, "About us" if k % 2 else f"Page {k}") for k in range(copies)] + [article(k) for k in range(1, others + 1)]
+    rows = [(k, url and f"{url}{k}", p) for url in (None, "http://example.org/") for k, p in enumerate(pages)]
+    got = html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        n = max(0, r["page_id"] - copies + 1)
+        assert r["text"].endswith(f"Title {n}\nStory {n} begins\nand goes on {n * 7}")
+        assert ("Share" in r["text"]) == (others < 8)
+
+
+def test_the_style_of_most_of_an_article_stays():
+    page = html.parse("<article><section>Menu</section><p>The story of the river</p></article>")
+    assert html.main_text(page, frozenset(["/article/section", "/article/p"])) == "The story of the river"
