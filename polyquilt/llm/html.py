@@ -145,49 +145,29 @@ def styles(root: Node) -> dict[str, tuple[int, int]]:
     """(content, presentation) fingerprints of each style that a page shows and markup does not rule out."""
     contents: dict[str, list[str]] = {}
     shapes: dict[str, list[str]] = {}
-
-    def walk(node: Node) -> str:
-        texts = []
-        for c in node.children:
+    last, mark = None, ""  # a text alone in many levels is kept and marked once
+    todo: list[tuple[Node, Iterator[Node | str], list[str]]] = [(root, iter(root.children), [])]
+    while todo:
+        node, rest, texts = todo[-1]
+        for c in rest:
             if type(c) is str:
                 texts.append(c)
             elif not c.low:
-                texts.append(walk(c))
-        own = " ".join(texts)
-        if node.tag in _BLOCK:
-            contents.setdefault(node.style, []).append(own)
-            shapes.setdefault(node.style, []).append(" ".join(c.tag for c in node.children if type(c) is not str))
-        return own
-
-    walk_deep(walk, root)
+                todo.append((c, iter(c.children), []))
+                break
+        else:
+            todo.pop()
+            own = " ".join(texts)
+            if todo:
+                todo[-1][2].append(own)
+            if node.tag in _BLOCK:
+                if own is not last:
+                    last, mark = own, str(_mark(own))
+                contents.setdefault(node.style, []).append(mark)
+                shapes.setdefault(node.style, []).append(" ".join(c.tag for c in node.children if type(c) is not str))
     return {s: (_mark("\n".join(t)), _mark("\n".join(shapes[s]))) for s, t in contents.items()}
 
 
-def walk_deep(walk, root: Node):
-    """Run a recursive walk; very deep markup is flattened first, so that no stack overflows."""
-    stack = [(root, 0)]
-    while stack:
-        node, depth = stack.pop()
-        for c in node.children:
-            if type(c) is not str:
-                stack.append((c, depth + 1))
-        if depth >= 400:
-            node.children = [c for c in _flat(node)]
-            while stack and stack[-1][1] > depth:
-                stack.pop()
-    return walk(root)
-
-
-def _flat(node: Node) -> Iterator[str]:
-    todo: list[Node | str] = node.children[::-1]
-    while todo:
-        c = todo.pop()
-        if type(c) is str:
-            yield c
-        elif not c.low:
-            todo += c.children[::-1]
-
-
 def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
     """The page's article: its blocks in page order, one a line."""
     articles: list[Node] = []
@@ -216,24 +196,27 @@ def main_text(root: Node, low: frozenset[str] = frozenset()) -> str:
         if text:
             out.append(text)
 
-    def walk(node: Node) -> None:
-        for c in node.children:
-            if type(c) is str:
-                line.append(c)
-            elif c.low or (c.style in low and c.style not in safe):
-                if c.tag in _BLOCK:
-                    flush()
-            elif c.tag == "br":
-                line.append(" ")
-            elif c.tag in _BLOCK:
-                flush()
-                walk(c)
-                flush()
-            else:
-                walk(c)
-
     for top in tops:
-        walk_deep(walk, top)
+        way: list[tuple[Node, Iterator[Node | str]]] = [(top, iter(top.children))]
+        while way:
+            node, rest = way[-1]
+            for c in rest:
+                if type(c) is str:
+                    line.append(c)
+                elif c.low or (c.style in low and c.style not in safe):
+                    if c.tag in _BLOCK:
+                        flush()
+                elif c.tag == "br":
+                    line.append(" ")
+                else:
+                    if c.tag in _BLOCK:
+                        flush()
+                    way.append((c, iter(c.children)))
+                    break
+            else:
+                way.pop()
+                if node.tag in _BLOCK:
+                    flush()
         flush()
     return "\n".join(out)
 

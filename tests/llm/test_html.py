@@ -85,3 +85,11 @@ def test_copies_of_one_page_keep_their_text(spark, copies, others):
 def test_the_style_of_most_of_an_article_stays():
     page = html.parse("<article><section>Menu</section><p>The story of the river</p></article>")
     assert html.main_text(page, frozenset(["/article/section", "/article/p"])) == "The story of the river"
+
+
+def test_deep_markup_keeps_blocks_and_styles():
+    root = html.parse("<div>" * 1500 + "<p>a</p><p>b <b>c</b></p><section>menu</section>")
+    assert html.main_text(root) == "a\nb c\nmenu"
+    deep = "/div" * 1500
+    assert html.main_text(root, frozenset([f"{deep}/section"])) == "a\nb c"
+    assert {f"{deep}/p", f"{deep}/section"} <= set(html.styles(root))
