@@ -1,7 +1,10 @@
+import random
+
 import corpus_pipeline
 from polyquilt.llm import bpe, decontaminate, lines, neardup, quality
 from tests.llm.conftest import SF
 from tests.llm.test_bpe import expect
+from tests.llm.test_decontaminate import edit_distance, edited
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_neardup import brute as brute_classes
 
@@ -30,3 +33,30 @@ def test_stages_one_by_one(spark):
     whole = {r["doc_id"]: r["n_tokens"] for r in corpus_pipeline.run(spark, SF).collect()}
     assert whole == {d: len(expect(t)[0]) for d, t in kept["decontamination"].items()}
     assert all((bpe, decontaminate, lines, neardup))
+
+
+def test_decontamination_against_exact_edit_distance(spark, prose, tmp_path):
+    """The stage and op1 on passages with up to 20 % edits, and some just beyond, against the distance to any run of words."""
+    rnd = random.Random(8)
+    items = [(k, prose(n, 40000 + k)) for k, n in enumerate([4, 9, 10, 12, 16, 21, 30, 38, 52, 70])]
+    docs = [(1000 + k, prose(60, 50000 + k)) for k in range(5)]
+    for k, item in items:
+        for more, kind in ((0, "mixed"), (0, "deleted"), (2, "swapped")):
+            words = edited(item.split(), kind, rnd)
+            for p in rnd.sample(range(len(words)), min(more, len(words))):
+                words[p] = "beyond"
+            docs.append((len(docs), " ".join([prose(rnd.randrange(40), rnd.random()), *words, prose(20, rnd.random())])))
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    want = {}
+    for d, t in docs:
+        for k, item in items:
+            edits = edit_distance(item.split(), t.split())
+            if 5 * edits <= len(item.split()):
+                want[d, k] = edits
+    assert 20 <= len(want) < 3 * len(items)
+    got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.op1_decontaminate(spark, str(tmp_path)).collect()}
+    assert got == want
+    kept = {r["doc_id"] for r in corpus_pipeline.decontamination(spark, table, str(tmp_path)).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want}
