@@ -8,6 +8,7 @@ a block of its own), so a worker's memory does not follow the partition size.
 from __future__ import annotations
 
 import gc
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -30,31 +31,46 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is set only where the session has none."""
+    """The folder that driver and executors share.
+
+    Where the session names none, it is one under the warehouse, which a cluster shares
+    too; only a local master, whose one machine is driver and executor, gets a temporary one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/polyquilt-checkpoints"
+        local = spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster")
+        found = f"{tempfile.gettempdir()}/polyquilt-checkpoints" if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/polyquilt-checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, sweep: bool = True) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage at a copy that outlives any executor, and lets Spark
-    drop the shuffle files behind it.
+    drop the shuffle files behind it (``sweep``: at once; small tables need not).
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/polyquilt-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
     del df
-    gc.collect()
-    for _ in range(2):  # Spark drops a plan's shuffle files once the driver has collected the plan
-        spark.sparkContext._jvm.System.gc()
+    if sweep:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()  # Spark drops a plan's shuffle files once the driver has collected the plan
     return out
 
 
+def free(*tables: DataFrame | None) -> None:
+    """Delete tables of ``cut`` that nothing will read any more."""
+    for t in tables:
+        if t is not None and (path := getattr(t, "_cut_path", None)):
+            jvm = t.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``max_bytes`` of ``text``, one row at least."""
     for batch in batches:

@@ -25,17 +25,40 @@ def components(edges: DataFrame) -> DataFrame:
     Edges with a null end, loops and repeated edges are allowed and add nothing; no edges give no rows.
     """
     e = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = common.cut(e)
+    e = common.cut(e, sweep=False)
     state = None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
         near = _with_least(large)
         small = near.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        e = common.cut(small)
+        last, e = e, common.cut(small, sweep=False)
+        common.free(last)
         now = e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
         if tuple(now) == state:
             break
         state = tuple(now)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def merged(found: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """The components that ``found`` (node, component; None at first) and more ``edges`` (a, b) give together, as a table.
+
+    Only what the edges join is worked on: they are contracted to the components of their ends first.
+    """
+    if found is None:
+        return common.cut(components(edges))
+    ends = edges
+    for end in ("a", "b"):
+        known = found.toDF(end, "_component").hint("merge")
+        ends = ends.join(known, end, "left").withColumn(end, F.coalesce("_component", end)).drop("_component")
+    ends = common.cut(ends.filter("a <> b").distinct(), sweep=False)
+    if ends.isEmpty():
+        return found
+    moved = common.cut(components(ends), sweep=False)
+    old = found.join(moved.toDF("component", "_to").hint("merge"), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    new = moved.join(found.select("node").hint("merge"), "node", "left_anti")
+    out = common.cut(old.unionByName(new))
+    common.free(ends, moved, found)
+    return out
