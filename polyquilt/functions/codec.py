@@ -107,8 +107,12 @@ def document_id(fingerprint: str, entry: int) -> bytes:
     return lane_hash(f"tes-source-v1:{fingerprint}:{entry}".encode())
 
 
-def legacy_id(name: str, record: Record | None = None, domain: bytes = b"legacy-record/v1\0") -> bytes:
-    """the id of a record under an older name; ``domain`` sets it apart from other uses of the hash."""
+def legacy_id(name: str, record: Record | None = None, *, domain: bytes) -> bytes:
+    """the id of a record under an older name.
+
+    ``domain`` sets it apart from other uses of the hash.  Ids equal those of an existing
+    store only under that store's own domain, so there is no default.
+    """
     return lane_hash(domain + name.encode() + (encode_record(record) if record else b""))
 
 

@@ -142,8 +142,11 @@ JSON = f"map<string, struct<T1: {POINT}, T2: {POINT}, Seed: array<{POINT}>>>"
 _KEY = re.compile(r"k([0-9]{2,})_([0-9a-f]{64})")
 
 
-def from_json(spark: SparkSession, path: str) -> DataFrame:
-    """(name, k, stable_id, t1, t2, seeds, error) of JSON objects, a line or a file each; ``_failures`` become rows with their message."""
+def from_json(spark: SparkSession, path: str, legacy_domain: bytes | None = None) -> DataFrame:
+    """(name, k, stable_id, t1, t2, seeds, error) of JSON objects, a line or a file each; ``_failures`` become rows with their message.
+
+    Records under older names get ids in ``legacy_domain``, that of the store which they belong to; without it they are errors.
+    """
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.filter(F.split("value", r"\n(?=\{)"), lambda x: F.trim(x) != "")).alias("value"))
     # the failures have another shape than records, so they are read apart
     failures = raw.select(F.explode(F.from_json(F.get_json_object("value", "$._failures"), "map<string, string>")).alias("name", "error"))
@@ -161,7 +164,9 @@ def from_json(spark: SparkSession, path: str) -> DataFrame:
                     r = Record(t1, t2, tuple(sorted(geometry.reduce(tuple(s), t1, t2) for s in seeds)))
                     geometry.check(r)
                     m = _KEY.fullmatch(name)
-                    k, own = (int(m[1]), bytes.fromhex(m[2])) if m else (text.legacy_k(name), codec.legacy_id(name, r))
+                    if not m and legacy_domain is None:
+                        raise ValueError("an older name needs its store's domain")
+                    k, own = (int(m[1]), bytes.fromhex(m[2])) if m else (text.legacy_k(name), codec.legacy_id(name, r, domain=legacy_domain))
                     out.append((k, own, list(t1), list(t2), [list(s) for s in r.seeds], None))
                 except (ValueError, OverflowError) as e:
                     out.append((None, None, None, None, None, str(e)))

@@ -39,11 +39,20 @@ def watermark(spark: SparkSession, target: str) -> int:
 
 
 def retry(spark: SparkSession, target: str, dead: str, number: int, fingerprint: str = "") -> DataFrame:
-    """Convert dead letters below the watermark again; gives those that still fail."""
-    done = spark.read.parquet(target).select(F.col("id"))
+    """Convert the dead letters that no earlier try has converted; gives those that still fail.
+
+    ``number`` (0, 1, ...) names the attempt.  Its outcome is written once, to a folder of its own beside the
+    dead letters, and read back from there; what succeeded then goes to the target under a
+    negative batch number, which no stream uses.  An attempt that exists is refused.
+    """
+    if number < 0:
+        raise ValueError("attempts count from 0")
+    done = spark.read.parquet(target).select("id")
     waiting = spark.read.parquet(dead).drop("batch", "error").dropDuplicates(["id"]).join(done, "id", "left_anti")
-    made = tilings.convert(waiting, fingerprint)
-    made.filter("error IS NULL").drop("error").write.mode("overwrite").parquet(f"{target}/batch={number}")
+    outcome = f"{dead.rstrip('/')}-attempts/{number}"
+    tilings.convert(waiting, fingerprint).write.mode("errorifexists").parquet(outcome)
+    made = spark.read.parquet(outcome)
+    made.filter("error IS NULL").drop("error").write.mode("errorifexists").parquet(f"{target}/batch={-1 - number}")
     return made.filter("error IS NOT NULL").select("id", "error")
 
 

@@ -1,11 +1,13 @@
 """Search, stores, conversion and streaming over tables."""
 
+import hashlib
+import json
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
-from polyquilt.functions import codec, text
+from polyquilt.functions import codec, geometry, text
 from polyquilt.functions.states import frame, pack
 from polyquilt.operators import reconcile, search
 from polyquilt.sources import solutions, tilings
@@ -114,23 +116,28 @@ def test_conversion_and_json(spark, documents, tmp_path):
     assert back.filter("error IS NOT NULL").count() == 0
     key = lambda d: sorted((r["stable_id"].hex(), r["k"], r["seeds"]) for r in d.collect())
     assert key(back) == key(made)
-    square = '{"T1":[1,0,0,0],"T2":[0,0,0,1],"Seed":[[0,0,0,0]]}'
+    cell = {"T1": [0, 0, 1, 0], "T2": [1, 0, 0, 0], "Seed": [[0, 0, 0, 0]]}
+    digest = hashlib.sha256(b"some record").hexdigest()
+    old = {"eu_raw_5a_12": cell, "eu_5a3_6i2_40": cell, "eu_raw_zz_3": cell, f"k02_{digest}": {**cell, "Seed": [[0, 0, 0, 0], [0, 0, 1, 0]]}, "_failures": {"eu_raw_6i_9": "gave up"}}
     (tmp_path / "old").mkdir()
-    twice = '{"T1":[1,0,0,0],"T2":[0,0,0,1],"Seed":[[0,0,0,0],[1,0,0,0]]}'
-    (tmp_path / "old" / "a.json").write_text(f'{{"eu_raw_4u_1":{square},"eu_4u_5d2_6h_7":{square},"eu_raw_bad_1":{square},"k01_{"1" * 64}":{twice},"_failures":{{"eu_raw_6c_1":"Only 3 vertices placed"}}}}')
-    old = {r["name"]: r for r in tilings.from_json(spark, str(tmp_path / "old")).collect()}
-    assert (old["eu_raw_4u_1"]["k"], old["eu_4u_5d2_6h_7"]["k"]) == (1, 4)
-    assert old["eu_raw_4u_1"]["stable_id"] != old["eu_4u_5d2_6h_7"]["stable_id"]
-    assert {n for n, r in old.items() if r["error"]} == {"eu_raw_bad_1", "k01_" + "1" * 64, "eu_raw_6c_1"}
+    (tmp_path / "old" / "a.json").write_text(json.dumps(old))
+    read = {r["name"]: r for r in tilings.from_json(spark, str(tmp_path / "old"), legacy_domain=b"some store").collect()}
+    assert (read["eu_raw_5a_12"]["k"], read["eu_5a3_6i2_40"]["k"]) == (1, 5)
+    assert read["eu_raw_5a_12"]["stable_id"] != read["eu_5a3_6i2_40"]["stable_id"]
+    assert {n for n, r in read.items() if r["error"]} == {"eu_raw_zz_3", f"k02_{digest}", "eu_raw_6i_9"}
+    assert all(r["error"] for r in tilings.from_json(spark, str(tmp_path / "old")).collect())
 
 
 def test_matching(spark):
+    """Rectangular cells of different areas as references, and copies of them changed by known moves."""
     schema = "id string, k int, t1 array<bigint>, t2 array<bigint>, seeds array<array<bigint>>"
-    zero = [[0, 0, 0, 0]]
-    mine = spark.createDataFrame([("a", 1, [2, 0, 0, 0], [0, 0, 0, 2], zero), ("b", 1, [2, 0, 0, 0], [0, 0, 0, 1], zero), ("c", 2, [2, 0, 0, 0], [0, 0, 0, 2], zero)], schema)
-    refs = spark.createDataFrame([("r", 1, [0, 0, 0, 2], [2, 0, 0, 2], zero), ("s", 1, [1, 0, 0, 1], [0, 0, 0, 2], zero), ("t", 2, [2, 0, 0, 0], [0, 0, 0, 2], zero), ("u", 2, [0, 0, 0, 2], [2, 0, 0, 0], zero), ("v", 1, [1, 0, 0, 0], [2, 0, 0, 0], zero)], schema)
-    got = {r["id"]: (r["status"], r["refs"]) for r in tilings.matches(mine, refs).collect()}
-    assert got == {"a": ("matched", ["r"]), "b": ("unmatched", None), "c": ("ambiguous", ["t", "u"])}
+    cell = lambda w, h: geometry.Record((w, 0, 0, 0), (0, 0, 0, h), ((0, 0, 0, 0), (1, 0, 0, 1)))
+    row = lambda name, k, r: (name, k, list(r.t1), list(r.t2), [list(x) for x in r.seeds])
+    sheared = lambda r: geometry.Record(geometry.add(r.t1, geometry.scale(2, r.t2)), geometry.negate(r.t2), r.seeds)
+    mine = [row("turned", 3, geometry.image(cell(5, 7), 4, True)), row("sheared", 4, sheared(cell(4, 9))), row("same area", 3, cell(1, 35)), row("other k", 5, cell(5, 7))]
+    refs = [row("r1", 3, cell(5, 7)), row("r2", 4, cell(4, 9)), row("r3", 4, geometry.image(cell(4, 9), 1, False)), row("flat", 3, geometry.Record((1, 0, 0, 0), (3, 0, 0, 0), ((0, 0, 0, 0),)))]
+    got = {r["id"]: (r["status"], r["refs"]) for r in tilings.matches(spark.createDataFrame(mine, schema), spark.createDataFrame(refs, schema)).collect()}
+    assert got == {"turned": ("matched", ["r1"]), "sheared": ("ambiguous", ["r2", "r3"]), "same area": ("unmatched", None), "other k": ("unmatched", None)}
 
 
 def test_stream_converts_once_and_retries(spark, documents, tmp_path):
@@ -144,7 +151,18 @@ def test_stream_converts_once_and_retries(spark, documents, tmp_path):
     documents.filter("id > 6 AND id <= 9").write.mode("append").parquet(source)
     convert.start(spark, source, target, dead, point).awaitTermination()
     assert spark.read.parquet(target).select("id").distinct().count() == spark.read.parquet(target).count() == 8
-    assert [r["id"] for r in convert.retry(spark, target, dead, 100).collect()] == [6]
+    assert [r["id"] for r in convert.retry(spark, target, dead, 0).collect()] == [6]
+    # two dead letters become good one after the other: no try loses what another wrote
+    for number, good in ((1, 6), (2, 10)):
+        mended = documents.filter(F.col("id") == good)
+        letter = mended if good == 6 else mended.unionByName(documents.filter("id = 11").withColumn("document", F.lit("broken")))
+        fresh = str(tmp_path / f"dead{number}")
+        letter.write.parquet(fresh)
+        left = convert.retry(spark, target, fresh, number)
+        assert [r["id"] for r in left.collect()] == ([] if good == 6 else [11])
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == list(range(1, 11))
+    with pytest.raises(Exception, match="(?i)already.exists"):
+        convert.retry(spark, target, dead, 0)
     with pytest.raises(Exception, match="document 6"):
         convert.start(spark, source, str(tmp_path / "x"), str(tmp_path / "y"), str(tmp_path / "z"), fail_fast=True).awaitTermination()
 
