@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame, SparkSession
 from polyquilt.llm import common
 
 #: Entries of a worker's chunk memo; when it is full it becomes the older memo, which is asked before work is done anew.
-MEMO_ENTRIES = 600_000
+MEMO_ENTRIES = 200_000
 NO_RANK = np.int64(1) << 40
 #: Marks that never join a contraction.
 MARKS = frozenset((b".", b",", b"!", b"?", b";", b":"))
 #: Text bytes of a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 
 
 def byte_signs() -> str:

@@ -83,6 +83,7 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = BLOCK_
             end = max(at + 1, int(np.searchsorted(size, done + max_bytes, "right")))
             yield batch.slice(at, end - at)
             at = end
+    pa.default_memory_pool().release_unused()  # a worker waits for its next task with what it holds
 
 
 def _lengths(column: pa.Array) -> np.ndarray:

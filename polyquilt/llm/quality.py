@@ -4,7 +4,8 @@ Words are ``[^\x20\x09-\x0D]+`` and lines what lies between ``\n``; a line count
 has a word.  Each rule compares two integer expressions over a document's counts, so
 both sides are exact.  null and empty texts have no words and fail the base rules;
 very long texts take the same path (all steps are linear or n log n in the words);
-repeated rows are judged each by itself; columns besides key and text are ignored.
+repeated rows are judged each by itself, and equal ones alike; an empty table gives an
+empty table; columns besides key and text are ignored.
 """
 
 from __future__ import annotations
@@ -103,10 +104,11 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that pass all rules, with the columns they came with."""
-    held = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text"))
+    own = {c: f"_own{k}" for k, c in enumerate(docs.columns)}
     # the filter must not sink below the projections that it needs, where each would be written out and evaluated many times
     stays = F.monotonically_increasing_id() >= 0
-    return measure(held, "_text").withColumn("_stays", ~_fails(BASE) & ~_fails(RULES) & stays).filter("_stays").select("_row.*")
+    judged = measure(docs.toDF(*own.values()), own[text]).withColumn("_stays", ~_fails(BASE) & ~_fails(RULES) & stays)
+    return judged.filter("_stays").select(*own.values()).toDF(*own)
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
