@@ -1,8 +1,8 @@
 """Token-ID output: best-fit-decreasing packing into id matrices.
 
-Documents are tokenised, dealt to blocks of about ``BLOCK_DOCS`` documents by a hash,
-and each block is packed by itself, so no task holds more than its block and the
-layout does not depend on file splits.  In a block:
+Documents are tokenised, dealt to blocks of about ``BLOCK_DOCS`` documents by a hash of
+id, length and place in the input, so that rows of one id, or without one, spread like
+others; each block is packed by itself, so no task holds more than its block.  In a block:
 
 * a document of more than ``capacity`` tokens is split into full pieces and a rest, in
   order and without loss;
@@ -18,7 +18,8 @@ and 2-byte little-endian unsigned integers in binary columns, which NumPy reads
 document, by piece, give its ids back.
 
 null and empty texts have no tokens and no segment; a null id is carried along;
-repeated rows are packed each by itself; other columns are ignored.
+repeated rows are packed each by itself; a very long text is split, never cut; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -151,7 +152,7 @@ def pack(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ca
         raise ValueError("capacity must fit two-byte positions")
     blocks = max(1, math.ceil(docs.count() / block_docs))
     width = "<u2" if bpe.vocabulary(path).base < 1 << 16 else "<u4"
-    own = docs.select(F.pmod(F.xxhash64(key, F.length(text)), F.lit(blocks)).cast("int").alias("block"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
+    own = docs.select(F.pmod(F.xxhash64(key, F.length(text), F.monotonically_increasing_id()), F.lit(blocks)).cast("int").alias("block"), F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     tokens = own.mapInArrow(_tokenised(path, width), "block int, key bigint, ids binary").filter(F.length("ids") > 0)
     schema = "block int, pack int, n_tokens int, doc_ids array<bigint>, pieces array<int>, cu_seqlens array<int>, ids binary, positions binary"
     return tokens.groupBy("block").applyInArrow(_packed(capacity, pad, width, pa.int64()), schema)

@@ -56,3 +56,10 @@ def test_round_trip(spark, hard_docs, no_docs):
 def test_rows_are_well_filled(spark):
     rows = packing.pack(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), PATH).collect()
     assert np.mean([r["n_tokens"] for r in rows]) > 0.97 * packing.CAPACITY
+
+
+def test_rows_of_one_id_spread_over_blocks(spark):
+    rows = [(None, "the same few words in every row")] * 3000 + [(5, "and others under one id")] * 1000
+    out = packing.pack(spark.createDataFrame(rows, "doc_id bigint, text string"), bpe.word_vocabulary_path(), block_docs=100)
+    per = {r["block"]: r["n"] for r in out.selectExpr("block", "size(doc_ids) AS n").groupBy("block").sum("n").withColumnRenamed("sum(n)", "n").collect()}
+    assert sum(per.values()) == 4000 and len(per) == 40 and max(per.values()) < 200
