@@ -16,6 +16,7 @@ from polyquilt.functions.states import frame
 from polyquilt.operators import analytics as A
 from polyquilt.operators import canon, search
 from polyquilt.operators import reconcile as R
+from polyquilt.plans.report_queries import REPORT
 from polyquilt.sources import solutions, tilings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -562,4 +563,5 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "json_props": (json_props, JSON),
     "refine_colours": (refine_colours, COLOURS),
     "top_orders": (top_orders, TOP_ORDERS),
+    **REPORT,
 }
