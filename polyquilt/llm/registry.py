@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyquilt.llm import bpe, decontaminate, html, lines, neardup, packing, quality, substring, urls
+from polyquilt.llm import bpe, decontaminate, html, lines, merkle, neardup, packing, quality, substring, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_packing": packing.op8_token_packing,
         "op9_html_extract": html.op9_html_extract,
         "op10_bpe": bpe.op10_bpe,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
     }
 
 
@@ -30,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_quality_rules": quality.oracle_sql(),
         "op5_url_filter": urls.oracle_sql(),
         "op6_minhash_neardup": neardup.oracle_sql(),
+        "op11_merkle_manifest": merkle.oracle_sql(),
     }
