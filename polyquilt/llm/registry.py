@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from polyquilt.llm import bpe, decontaminate, html, lines, merkle, neardup, packing, quality, spelling, substring, urls
+from polyquilt.llm import bpe, classifier, decontaminate, html, lines, merkle, neardup, packing, quality, spelling, substring, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_html_extract": html.op9_html_extract,
         "op10_bpe": bpe.op10_bpe,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
+        "op12_quality_classifier": classifier.op12_quality_classifier,
         "op13_spelling_variants": spelling.op13_spelling_variants,
     }
 
