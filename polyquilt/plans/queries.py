@@ -16,6 +16,7 @@ from polyquilt.functions.states import frame
 from polyquilt.operators import analytics as A
 from polyquilt.operators import canon, search
 from polyquilt.operators import reconcile as R
+from polyquilt.plans.graph_queries import GRAPH
 from polyquilt.plans.report_queries import REPORT
 from polyquilt.sources import solutions, tilings
 
@@ -392,23 +393,6 @@ def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
 JSON = "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, max(k) AS top FROM (SELECT event_type, (regexp_extract(props, '\"k\": *(-?[0-9]+)', 1))::BIGINT AS k FROM events) GROUP BY event_type"
 
 
-def refine_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1 + G4 on a table graph: nations by region, then by their customers' segments, then customers by both."""
-    c, n = table(spark, sf_dir, "customer"), table(spark, sf_dir, "nation")
-    seen = c.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("n"))
-    profile = seen.groupBy("c_nationkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("c_mktsegment", "n"))), lambda x: F.concat(x["c_mktsegment"], F.lit(":"), x["n"].cast("string"))), ",").alias("p"))
-    n1 = n.join(profile, F.col("n_nationkey") == F.col("c_nationkey"), "left").select("n_nationkey", F.struct("n_regionkey", F.coalesce("p", F.lit("")).alias("p")).alias("key"))
-    ranks = n1.select("key").distinct().select("key", F.expr("dense_rank() OVER (PARTITION BY 0 ORDER BY key)").alias("colour"))  # one row a nation at most
-    n2 = n1.join(ranks, "key").select("n_nationkey", "colour")
-    met = c.join(F.broadcast(n2), F.col("c_nationkey") == F.col("n_nationkey"))
-    return met.groupBy("c_mktsegment", "colour").agg(F.count("*").alias("n"))
-
-
-COLOURS = """WITH s AS (SELECT c_nationkey, c_mktsegment, count(*) AS n FROM customer GROUP BY ALL), p AS (SELECT c_nationkey, string_agg(c_mktsegment || ':' || n, ',' ORDER BY c_mktsegment) AS p FROM s GROUP BY ALL),
-n1 AS (SELECT n_nationkey, (dense_rank() OVER (ORDER BY n_regionkey, coalesce(p, '')))::INTEGER AS colour FROM nation LEFT JOIN p ON n_nationkey = c_nationkey)
-SELECT c_mktsegment, colour, count(*) AS n FROM customer JOIN n1 ON c_nationkey = n_nationkey GROUP BY ALL"""
-
-
 def multi_key_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O3: types of orders by number of lines, then by falling frequency."""
     own = A.distinct_members(_members(spark, sf_dir))
@@ -561,7 +545,7 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "running_index": (running_index, RUNNING),
     "range_spec": (range_spec, RANGE_SPEC),
     "json_props": (json_props, JSON),
-    "refine_colours": (refine_colours, COLOURS),
     "top_orders": (top_orders, TOP_ORDERS),
     **REPORT,
+    **GRAPH,
 }
