@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyquilt.operators import graph
+from polyquilt.operators import chunking, crossings, graph, lattice
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,8 +67,82 @@ r AS (SELECT source, source AS node, 0::BIGINT AS distance FROM s UNION SELECT s
 SELECT source, node, min(distance) AS distance FROM r GROUP BY source, node"""
 
 
+# --- crossings, chunks, lattices ---
+
+
+def segment_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each user's path of (value, k) in the order of events crosses itself."""
+    e = _t(spark, sf_dir, "events").select("event_id", "user_id", F.round(F.col("value") * 100).cast("long").alias("x"), (F.get_json_object("props", "$.k").cast("long") * 100).alias("y"))
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    path = e.select(F.col("user_id").alias("by"), F.col("event_id").alias("id"), F.lag("x").over(w).alias("x1"), F.lag("y").over(w).alias("y1"), F.col("x").alias("x2"), F.col("y").alias("y2")).filter("x1 IS NOT NULL")
+    pairs = crossings.crossing_pairs(path, crossings.cell_size(path))
+    return pairs.groupBy(F.col("by").alias("user_id")).agg(F.count("*").alias("crossings"), F.count_distinct("a").alias("segments"), F.min("a").alias("first_a"), F.max("b").alias("last_b"))
+
+
+CROSSINGS = """WITH e AS (SELECT event_id, user_id, round(value * 100)::BIGINT AS x, (regexp_extract(props, '"k": *(-?[0-9]+)', 1))::BIGINT * 100 AS y FROM events),
+s AS MATERIALIZED (SELECT user_id, event_id AS id, lag(x) OVER w AS x1, lag(y) OVER w AS y1, x AS x2, y AS y2 FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id) QUALIFY x1 IS NOT NULL),
+p AS (SELECT p.user_id, p.id AS a, q.id AS b,
+  sign((p.x2 - p.x1) * (q.y1 - p.y1) - (p.y2 - p.y1) * (q.x1 - p.x1)) * sign((p.x2 - p.x1) * (q.y2 - p.y1) - (p.y2 - p.y1) * (q.x2 - p.x1)) AS f,
+  sign((q.x2 - q.x1) * (p.y1 - q.y1) - (q.y2 - q.y1) * (p.x1 - q.x1)) * sign((q.x2 - q.x1) * (p.y2 - q.y1) - (q.y2 - q.y1) * (p.x2 - q.x1)) AS g
+  FROM s p JOIN s q ON p.user_id = q.user_id AND p.id < q.id)
+SELECT user_id, count(*) AS crossings, count(DISTINCT a) AS segments, min(a) AS first_a, max(b) AS last_b FROM p WHERE f < 0 AND g < 0 GROUP BY user_id"""
+
+#: Bytes of a chunk, and of a row's framing.
+CHUNK, FRAME = 64 << 10, 3
+
+
+def byte_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of ``documents`` by language, in order of ids, of at most 64 KiB."""
+    out = chunking.chunks(_t(spark, sf_dir, "documents"), F.col("lang"), F.col("doc_id"), F.octet_length("text"), F.lit(FRAME), CHUNK)
+    return out.select(F.col("key").alias("lang"), "chunk", F.col("first").alias("first_doc"), "n_rows", "n_bytes")
+
+
+BYTE_CHUNKS = f"""WITH RECURSIVE d AS MATERIALIZED (SELECT lang, doc_id, coalesce(strlen(text), 0) AS size, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS i FROM documents),
+r AS (SELECT lang, i, size + {FRAME} AS held, 0::BIGINT AS chunk FROM d WHERE i = 1 UNION ALL
+SELECT d.lang, d.i, CASE WHEN held + size > {CHUNK} THEN 0 ELSE held END + size + {FRAME}, chunk + (held + size > {CHUNK})::BIGINT FROM r JOIN d ON d.lang IS NOT DISTINCT FROM r.lang AND d.i = r.i + 1)
+SELECT r.lang, chunk, min(doc_id) AS first_doc, count(*) AS n_rows, sum(size + {FRAME})::BIGINT AS n_bytes FROM r JOIN d ON d.lang IS NOT DISTINCT FROM r.lang AND d.i = r.i GROUP BY r.lang, chunk"""
+
+
+def _flat(made: DataFrame, by: str) -> DataFrame:
+    """(by, rank, g, b, d): the basis (g, b), (0, d); missing rows as 0."""
+    cell = lambda r, c: F.coalesce(F.get(F.get("basis", F.lit(r)), F.lit(c)).cast("long"), F.lit(0))
+    first = F.when(cell(0, 0) == 0, 0)
+    return made.select(by, "rank", cell(0, 0).alias("g"), F.coalesce(F.when(cell(0, 0) != 0, cell(1, 1)), cell(0, 1), first).cast("long").alias("d"))
+
+
+def lattice_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18 + F53: rank, first pivot and last pivot of the lattice of each order's (part, supplier) vectors."""
+    return _flat(lattice.basis(_t(spark, sf_dir, "lineitem"), "l_orderkey", ["l_partkey", "l_suppkey"]), "l_orderkey")
+
+
+def _minors(rows: str, by: str) -> str:
+    """By gcds: of the first entries, of all minors, and, where those are 0, of the second entries."""
+    g = "list_reduce(list_prepend(0::BIGINT, list({0})), lambda a, b: gcd(a, b))"
+    return f"""WITH v AS MATERIALIZED ({rows}),
+    m AS (SELECT p.{by}, {g.format('abs(p.x * q.y - p.y * q.x)')} AS m FROM v p JOIN v q ON p.{by} = q.{by} AND (p.x, p.y) < (q.x, q.y) GROUP BY p.{by}),
+    s AS (SELECT {by}, {g.format('abs(x)')} AS g, {g.format('abs(y)')} AS h FROM v GROUP BY {by})
+    SELECT {by}, (CASE WHEN coalesce(m, 0) <> 0 THEN 2 WHEN g <> 0 OR h <> 0 THEN 1 ELSE 0 END)::INTEGER AS rank, g, (CASE WHEN g = 0 THEN h ELSE coalesce(m, 0) // g END)::BIGINT AS d FROM s LEFT JOIN m USING ({by})"""
+
+
+LATTICE_ORDER = _minors("SELECT DISTINCT l_orderkey, l_partkey AS x, l_suppkey AS y FROM lineitem", "l_orderkey")
+
+
+def lattice_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A18 + F53: the lattice of the vectors (12 quantity + 8 line, 30 line) of all orders of a priority."""
+    li = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    v = li.select("o_orderpriority", (F.col("l_quantity") * 12 + F.col("l_linenumber") * 8).cast("long").alias("x"), (F.col("l_linenumber") * 30).cast("long").alias("y"))
+    return _flat(lattice.basis(v, "o_orderpriority", ["x", "y"]), "o_orderpriority")
+
+
+LATTICE_PRIORITY = _minors("SELECT DISTINCT o_orderpriority, (l_quantity * 12 + l_linenumber * 8)::BIGINT AS x, l_linenumber::BIGINT * 30 AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey", "o_orderpriority")
+
+
 GRAPH: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "refine_colours": (refine_colours, COLOURS),
     "graph_components": (graph_components, COMPONENTS),
     "graph_distances": (graph_distances, DISTANCES),
+    "segment_crossings": (segment_crossings, CROSSINGS),
+    "byte_chunks": (byte_chunks, BYTE_CHUNKS),
+    "lattice_by_order": (lattice_by_order, LATTICE_ORDER),
+    "lattice_by_priority": (lattice_by_priority, LATTICE_PRIORITY),
 }
