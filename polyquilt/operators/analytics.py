@@ -6,6 +6,8 @@ vertex types of results, or for any bag of labels per row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -53,10 +55,11 @@ def max_multiplicity(rows: DataFrame) -> DataFrame:
     return multiplicities(rows).groupBy("k", "id").agg(F.max("c").alias("top")).groupBy("k", "top").agg(F.count("*").alias("n"))
 
 
-def prevalence(rows: DataFrame, top: int) -> DataFrame:
-    """A10 + W2: (k, member, n, share, place): the ``top`` most frequent members of each k; ties by name."""
+def prevalence(rows: DataFrame, top: int | None = None) -> DataFrame:
+    """A10 + W2: (k, member, n, share, place): the members of each k by falling frequency, ties by name; the ``top`` first ones, or all."""
     totals = rows.groupBy("k").agg(F.count_distinct("id").alias("total"))
-    found = frequency(rows, "k").withColumn("place", F.row_number().over(W.partitionBy("k").orderBy(F.desc("n"), "member"))).filter(F.col("place") <= top)
+    found = frequency(rows, "k").withColumn("place", F.row_number().over(W.partitionBy("k").orderBy(F.desc("n"), "member")))
+    found = found if top is None else found.filter(F.col("place") <= top)
     return found.join(totals, "k").select("k", "member", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"), "place")
 
 
@@ -66,9 +69,12 @@ def growth(counts: DataFrame, key: str, value: str) -> DataFrame:
     return counts.select(key, value, F.round(F.try_divide(F.col(value), F.lag(value).over(w)), 6).alias("ratio"))
 
 
-def histogram_pivot(rows: DataFrame, values: list[int]) -> DataFrame:
-    """A4 in wide form, one column for each of ``values``."""
-    wide = distinct_members(rows).groupBy("k").pivot("m", values).agg(F.sum("n"))
+def histogram_pivot(rows: DataFrame, values: list[int] | None = None) -> DataFrame:
+    """A4 in wide form, a column for each of ``values`` (None: 1 up to the greatest that occurs, which is looked up)."""
+    own = distinct_members(rows)
+    if values is None:
+        values = list(range(1, (own.agg(F.max("m")).first()[0] or 0) + 1))
+    wide = own.groupBy("k").pivot("m", values).agg(F.sum("n")) if values else own.select("k").distinct()
     return wide.select("k", *[F.coalesce(F.col(str(v)), F.lit(0)).cast("long").alias(f"m{v}") for v in values])
 
 
@@ -84,14 +90,22 @@ def match_cardinality(left: DataFrame, right: DataFrame, on: list[str], key: str
     return met.select(key, "matches", F.when(F.col("matches") == 0, "unmatched").when(F.col("matches") == 1, "matched").otherwise("ambiguous").alias("status"))
 
 
-def sliding_rate(rows: DataFrame, by: str, ts: str, interval: str) -> DataFrame:
-    """Events a second over the ``interval`` up to each row; 0 where the frame is half a second or less."""
-    w = W.partitionBy(by).orderBy(ts)
-    frame = F.expr(f"count(*) OVER (PARTITION BY {by} ORDER BY {ts} RANGE BETWEEN INTERVAL {interval} PRECEDING AND CURRENT ROW)")
-    first = F.expr(f"min({ts}) OVER (PARTITION BY {by} ORDER BY {ts} RANGE BETWEEN INTERVAL {interval} PRECEDING AND CURRENT ROW)")
-    out = rows.withColumns({"in_frame": frame, "since": first, "_row": F.row_number().over(w)})
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("since").cast("timestamp"))
-    return out.withColumn("rate", F.when(seconds <= 500_000, F.lit(0.0)).otherwise(F.round((F.col("in_frame") - 1) * 1e6 / seconds, 9))).drop("_row", "since")
+def sliding_rate(rows: DataFrame, by: str, ts: str, interval: str, order: str) -> DataFrame:
+    """Events a second over the ``interval`` up to each row; 0 where the frame's times differ by half a second or less.
+
+    Rows are taken by time, then by ``order``.  A frame never has less than two rows: with
+    none but the row itself within the interval, the one before it counts, however old.
+    """
+    own = rows.withColumn("_row", F.row_number().over(W.partitionBy(by).orderBy(ts, order)))
+    frame = f"OVER (PARTITION BY {by} ORDER BY {ts} RANGE BETWEEN INTERVAL {interval} PRECEDING AND CURRENT ROW)"
+    last = W.partitionBy(by).orderBy(ts, order)
+    out = own.withColumns({"_first": F.expr(f"min(_row) {frame}"), "_since": F.expr(f"min({ts}) {frame}"), "_before": F.lag(ts).over(last)})
+    alone = (F.col("_first") == F.col("_row")) & F.col("_before").isNotNull()
+    since = F.when(alone, F.col("_before")).otherwise(F.col("_since"))
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(since.cast("timestamp"))
+    frame_rows = F.when(alone, 2).otherwise(F.col("_row") - F.col("_first") + 1).cast("long")
+    out = out.withColumn("in_frame", frame_rows).withColumn("rate", F.when(seconds <= 500_000, F.lit(0.0)).otherwise(F.round((F.col("in_frame") - 1) * 1e6 / seconds, 9)))
+    return out.drop("_row", "_first", "_since", "_before")
 
 
 def ewma(values: Column, alpha: float = 0.3) -> Column:
@@ -99,9 +113,15 @@ def ewma(values: Column, alpha: float = 0.3) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: F.when(acc == 0, x).otherwise(F.lit(alpha) * x + F.lit(1 - alpha) * acc))
 
 
-def eta_class(done: Column, total: Column, rate: Column) -> Column:
-    """-- without a rate, .. before the start, > past the end, else the seconds left."""
-    return F.when(done >= total, ">").when(done == 0, "..").when(rate <= 0, "--").otherwise(F.ceil((total - done) / rate).cast("string"))
+def eta_class(queue: Column, rate: Column, growth: Column, text: Callable[[Column], Column]) -> Column:
+    """When a queue will be empty, as a duration that ``text`` writes.
+
+    -- for an empty queue and .. below a rate that means anything (10 a second at most); a
+    queue that shrinks by more than 100 a second has a time of its own, at the rate less the
+    growth; any other has > before what its present length takes at the rate.
+    """
+    left = F.when(growth < -100, text(queue / (rate - growth))).otherwise(F.concat(F.lit(">"), text(queue / rate)))
+    return F.when(queue == 0, "--").when(rate <= 10, "..").otherwise(left)
 
 
 def running_index(rows: DataFrame, by: str, order: str) -> DataFrame:

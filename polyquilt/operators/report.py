@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from polyquilt.functions import catalog
 from polyquilt.operators import analytics as A
+from polyquilt.operators.tables import dropped, written
 
 #: The lines of a run's log that state its phases.
 SOLVER_LINE = r"^Solver phase:\s*([0-9.]+)s(?:\s*\(([0-9]+) partials)?"
@@ -56,26 +57,41 @@ def overall_top(rows: DataFrame, top: int) -> DataFrame:
 
 
 def reuse(rows: DataFrame) -> DataFrame:
-    """A8 + A9: mean entropy of each k beside the counts of its highest multiplicities."""
-    return A.mean_entropy(rows).join(A.max_multiplicity(rows), "k").select("k", "entropy", "top", "n")
+    """A8 + A9: (k, total, entropy, top, n): rows of each k, their mean entropy, and how many have which highest multiplicity."""
+    top = A.max_multiplicity(rows)
+    totals = top.groupBy("k").agg(F.sum("n").alias("total"))
+    return totals.join(A.mean_entropy(rows), "k").join(top, "k").select("k", "total", "entropy", "top", "n")
 
 
-def report(members: DataFrame, combos: DataFrame, m_max: int) -> dict[str, DataFrame]:
-    """The six tables of the report by name."""
+def distribution(rows: DataFrame) -> DataFrame:
+    """(k, m1, m2, ..., total), up to the greatest m that occurs."""
+    wide = A.histogram_pivot(rows)
+    counts = [c for c in wide.columns if c != "k"]
+    return wide.withColumn("total", sum((F.col(c) for c in counts), F.lit(0).cast("long")))
+
+
+def report(members: DataFrame, combos: DataFrame) -> dict[str, DataFrame]:
+    """The six tables of the report by name, whole; the growth of totals by k among them."""
+    totals = members.groupBy("k").agg(F.count_distinct("id").alias("total"))
     return {
-        "distinct_configurations": A.histogram_pivot(members, list(range(1, m_max + 1))),
+        "m_distribution": distribution(members),
         "multiplicity_profiles": A.profiles(members),
-        "configuration_frequency": overall_top(members, 20),
-        "polygon_sizes": size_signatures(combos),
-        "configuration_prevalence": A.prevalence(members, 10),
-        "reuse": reuse(members),
+        "configuration_prevalence": A.prevalence(members).drop("place"),
+        "polygon_signatures": size_signatures(combos),
+        "reuse_statistics": reuse(members),
+        "growth": A.growth(totals, "k", "total"),
     }
 
 
-def write_report(members: DataFrame, combos: DataFrame, m_max: int, target: str) -> None:
-    """Each table as a folder of CSV files with a header; an existing folder is an error."""
-    for name, rows in report(members, combos, m_max).items():
+def write_report(members: DataFrame, combos: DataFrame, target: str) -> None:
+    """Each table as a folder of CSV files with a header; an existing folder is an error.
+
+    The inputs may be whole enumerations, so each is computed once, as a table.
+    """
+    own, found = written(members), written(combos.select("combo"))
+    for name, rows in report(own, found).items():
         rows.write.option("header", True).csv(f"{target}/{name}")
+    dropped(own, found)
 
 
 def first_differences(a: DataFrame, b: DataFrame, top: int = 10) -> DataFrame:
@@ -95,10 +111,11 @@ def add_counts(counters: DataFrame, events: DataFrame, key: str, value: str) ->
     return counters.join(new, key, "full").select(key, (F.coalesce(value, F.lit(0)) + F.coalesce("_more", F.lit(0))).alias(value))
 
 
-def seeded_pick(rows: DataFrame, key: str, seed: int) -> DataFrame:
-    """One row's key, the least by the MD5 of seed and key, and so the same in every engine and partitioning; none of an empty table."""
+def seeded_pick(rows: DataFrame, key: str, seed: int, among: Column | None = None) -> DataFrame:
+    """One row's key, of the rows that ``among`` allows (of a combo, say): the least by the MD5 of seed and key, and so the same in every engine and partitioning; none of no rows."""
     draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
-    return rows.agg(F.min(F.struct(draw, F.col(key).alias("key"))).alias("s")).filter("s IS NOT NULL").select(F.col("s.key").alias(key))
+    own = rows if among is None else rows.filter(among)
+    return own.agg(F.min(F.struct(draw, F.col(key).alias("key"))).alias("s")).filter("s IS NOT NULL").select(F.col("s.key").alias(key))
 
 
 def at_most(rows: DataFrame, k_max: int) -> DataFrame:

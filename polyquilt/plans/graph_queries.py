@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from polyquilt.operators import chunking, crossings, graph, lattice
+from polyquilt.functions import hooks
+from polyquilt.operators import chunking, crossings, graph, lattice, layout
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,6 +139,60 @@ def lattice_by_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 LATTICE_PRIORITY = _minors("SELECT DISTINCT o_orderpriority, (l_quantity * 12 + l_linenumber * 8)::BIGINT AS x, l_linenumber::BIGINT * 30 AS y FROM lineitem JOIN orders ON l_orderkey = o_orderkey", "o_orderpriority")
 
 
+#: Rounds of the layout.
+ROUNDS = 6
+
+
+def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Nations a < b with a distance that falls with the lines sold between them, and a circle of all nations."""
+    c = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("p"))
+    s = _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("q"))
+    sold = _t(spark, sf_dir, "lineitem").join(_t(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "l_suppkey").agg(F.count("*").alias("n"))
+    between = sold.join(c, "o_custkey").join(s, "l_suppkey").filter("p <> q").groupBy(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).agg(F.sum("n").alias("n"))
+    turn = F.col("n_nationkey") * F.lit(2 * math.pi / 25)
+    return between.select("a", "b", (F.lit(400.0) / (F.col("n") + 100)).alias("d")), _t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("node"), F.cos(turn).alias("x"), F.sin(turn).alias("y"))
+
+
+def stress_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations laid out by trade in a few rounds from a circle, and turned back onto it."""
+    pairs, circle = _trade(spark, sf_dir)
+    made = layout.align(layout.layout(pairs, circle, ROUNDS), circle)
+    return made.select("node", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+def _layout_rounds(n: int) -> str:
+    step = """p{1} AS MATERIALIZED (SELECT p.node, (p.x + coalesce(x, p.x)) / 2 AS x, (p.y + coalesce(y, p.y)) / 2 AS y FROM p{0} p LEFT JOIN (
+  SELECT a.node, sum(w * (b.x + CASE WHEN now > 0 THEN d / now ELSE 0 END * (a.x - b.x))) / sum(w) AS x, sum(w * (b.y + CASE WHEN now > 0 THEN d / now ELSE 0 END * (a.y - b.y))) / sum(w) AS y
+  FROM e JOIN p{0} a ON a.node = e.a JOIN p{0} b ON b.node = e.b, LATERAL (SELECT sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS now) GROUP BY a.node) m ON m.node = p.node)"""
+    return ",\n".join(step.format(k, k + 1).replace("coalesce(x, p.x)", "coalesce(m.x, p.x)").replace("coalesce(y, p.y)", "coalesce(m.y, p.y)") for k in range(n))
+
+
+LAYOUT = f"""WITH t AS (SELECT least(c_nationkey, s_nationkey) AS a, greatest(c_nationkey, s_nationkey) AS b, 400.0::DOUBLE / (count(*) + 100) AS d
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey <> s_nationkey GROUP BY ALL),
+e AS MATERIALIZED (SELECT a, b, d, 1 / (d * d) AS w FROM t UNION ALL SELECT b, a, d, 1 / (d * d) FROM t),
+p0 AS MATERIALIZED (SELECT n_nationkey AS node, cos(n_nationkey * {2 * math.pi / 25!r}::DOUBLE) AS x, sin(n_nationkey * {2 * math.pi / 25!r}::DOUBLE) AS y FROM nation),
+{_layout_rounds(ROUNDS)},
+z AS (SELECT avg(p.x) AS mx, avg(p.y) AS my, avg(q.x) AS mu, avg(q.y) AS mv FROM p{ROUNDS} p JOIN p0 q USING (node)),
+k AS (SELECT p.node, p.x - mx AS x, p.y - my AS y, q.x - mu AS u, q.y - mv AS v FROM p{ROUNDS} p JOIN p0 q USING (node), z),
+s AS (SELECT sum(x * u + y * v) AS c1, sum(x * v - y * u) AS s1, sum(x * u - y * v) AS c2, sum(x * v + y * u) AS s2 FROM k),
+r AS (SELECT *, c2 * c2 + s2 * s2 > c1 * c1 + s1 * s1 AS flip FROM s),
+o AS (SELECT flip, CASE WHEN flip THEN c2 / sqrt(c2 * c2 + s2 * s2) ELSE c1 / sqrt(c1 * c1 + s1 * s1) END AS c, CASE WHEN flip THEN s2 / sqrt(c2 * c2 + s2 * s2) ELSE s1 / sqrt(c1 * c1 + s1 * s1) END AS s FROM r)
+SELECT node, round(c * x - s * CASE WHEN flip THEN -y ELSE y END + mu, 6) AS x, round(s * x + c * CASE WHEN flip THEN -y ELSE y END + mv, 6) AS y FROM k, o, z"""
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2.12: runs of a user's events with no pause over two hours, by a table function called from SQL."""
+    hooks.register(spark, "gap_runs", hooks.GapRuns)
+    e = _t(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', ts)").alias("at"))
+    out = spark.sql("SELECT * FROM gap_runs(TABLE({e}) PARTITION BY (key) ORDER BY (at), 7200000000)", e=e)
+    return out.select(F.col("key").alias("user_id"), "run", "first", "last", "n")
+
+
+RUNS = """WITH e AS (SELECT user_id, epoch_us(ts) AS u, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w <= 7200000000 THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+r AS (SELECT user_id, u, (sum(fresh) OVER (PARTITION BY user_id ORDER BY u) - 1)::BIGINT AS run FROM e)
+SELECT user_id, run, min(u) AS first, max(u) AS last, count(*) AS n FROM r GROUP BY user_id, run"""
+
+
 GRAPH: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "refine_colours": (refine_colours, COLOURS),
     "graph_components": (graph_components, COMPONENTS),
@@ -144,5 +200,7 @@ GRAPH: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "segment_crossings": (segment_crossings, CROSSINGS),
     "byte_chunks": (byte_chunks, BYTE_CHUNKS),
     "lattice_by_order": (lattice_by_order, LATTICE_ORDER),
+    "stress_layout": (stress_layout, LAYOUT),
+    "event_runs": (event_runs, RUNS),
     "lattice_by_priority": (lattice_by_priority, LATTICE_PRIORITY),
 }

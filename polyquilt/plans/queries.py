@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from polyquilt.functions import catalog, codec, geometry
 from polyquilt.functions.states import frame
 from polyquilt.operators import analytics as A
-from polyquilt.operators import canon, search
+from polyquilt.operators import canon, report, search
 from polyquilt.operators import reconcile as R
 from polyquilt.plans.graph_queries import GRAPH
 from polyquilt.plans.report_queries import REPORT
+from polyquilt.plans.stream_queries import STREAMS
 from polyquilt.sources import solutions, tilings
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -143,6 +144,23 @@ PIVOT = f"""WITH {_MEMBERS}, d AS (SELECT k, id, count(DISTINCT member) AS m FRO
 SELECT k, count(*) FILTER (m = 1) AS m1, count(*) FILTER (m = 2) AS m2, count(*) FILTER (m = 3) AS m3, count(*) FILTER (m = 4) AS m4, count(*) FILTER (m = 5) AS m5 FROM d GROUP BY k"""
 
 
+ALL_PREVALENCE = f"""WITH {_COUNTS}, f AS (SELECT k, member, count(*) AS n FROM c GROUP BY k, member), t AS (SELECT k, count(DISTINCT id) AS total FROM c GROUP BY k)
+SELECT k, member, n, round(n / total, 6) AS share FROM f JOIN t USING (k)"""
+DISTRIBUTION = PIVOT.replace(" FROM d GROUP BY k", ", count(*) AS total FROM d GROUP BY k")
+REUSE = f"""WITH {_COUNTS}, p AS (SELECT k, id, log2(sum(c)) - sum(c * log2(c)) / sum(c) AS e, max(c) AS top FROM c GROUP BY k, id),
+t AS (SELECT k, count(*) AS total, round(avg(e), 6) AS entropy FROM p GROUP BY k)
+SELECT k, total, entropy, top, count(*) AS n FROM p JOIN t USING (k) GROUP BY ALL"""
+
+
+def report_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of each number of lines, and their ratio to those of the number before."""
+    totals = _members(spark, sf_dir).groupBy("k").agg(F.count_distinct("id").alias("total"))
+    return A.growth(totals, "k", "total")
+
+
+REPORT_GROWTH = f"WITH {_MEMBERS}, t AS (SELECT k, count(DISTINCT id) AS total FROM m GROUP BY k) SELECT k, total, round(total / lag(total) OVER (ORDER BY k), 6) AS ratio FROM t"
+
+
 def growth_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("n"))
     return A.growth(years, "y", "n")
@@ -331,11 +349,14 @@ SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders ANTI JOIN n USING (o_
 
 def sliding_rate_1d(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    return A.sliding_rate(e, "user_id", "ts", "1 DAY").select("event_id", "in_frame", "rate")
+    return A.sliding_rate(e, "user_id", "ts", "1 DAY", "event_id").select("event_id", "in_frame", "rate")
 
 
-SLIDING = """SELECT event_id, in_frame, CASE WHEN us <= 500000 THEN 0.0 ELSE round((in_frame - 1) * 1e6 / us, 9) END AS rate FROM (
-SELECT event_id, count(*) OVER w AS in_frame, date_diff('microsecond', min(ts) OVER w, ts) AS us FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW))"""
+SLIDING = """WITH o AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+f AS (SELECT p.user_id, p.i, min(q.i) AS low FROM o p JOIN o q ON p.user_id = q.user_id AND q.i <= p.i AND q.ts >= p.ts - INTERVAL 1 DAY GROUP BY ALL),
+g AS (SELECT user_id, i, greatest(least(low, i - 1), 1) AS low FROM f)
+SELECT p.event_id, p.i - g.low + 1 AS in_frame, CASE WHEN date_diff('microsecond', q.ts, p.ts) <= 500000 THEN 0.0 ELSE round((p.i - g.low) * 1e6 / date_diff('microsecond', q.ts, p.ts), 9) END AS rate
+FROM o p JOIN g ON p.user_id = g.user_id AND p.i = g.i JOIN o q ON q.user_id = g.user_id AND q.i = g.low"""
 
 
 def ewma_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,11 +368,18 @@ EWMA = "SELECT user_id, round(list_reduce(list_prepend(0.0::DOUBLE, list(value O
 
 
 def eta_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("done"))
-    return e.select("user_id", A.eta_class(F.col("done") % 20, F.lit(15), (F.col("done") % 4).cast("double")).alias("eta"))
+    """Users as queues, with lengths, rates and growths from their events."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("s"))
+    queue = F.when(F.col("s") % 7 == 0, 0).otherwise(F.col("s") * F.col("n"))
+    rate, growth = (F.col("n") % 8 * 6).cast("double"), ((F.col("s") % 9 - 6) * 50).cast("double")
+    return e.select("user_id", A.eta_class(queue, rate, growth, report.duration_text).alias("eta"))
 
 
-ETA = "SELECT user_id, CASE WHEN n % 20 >= 15 THEN '>' WHEN n % 20 = 0 THEN '..' WHEN n % 4 <= 0 THEN '--' ELSE ceil((15 - n % 20) / (n % 4))::BIGINT::VARCHAR END AS eta FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id)"
+ETA = """WITH u AS (SELECT user_id, count(*) AS n, sum((regexp_extract(props, '"k": *(-?[0-9]+)', 1))::BIGINT)::BIGINT AS s FROM events GROUP BY user_id),
+q AS (SELECT user_id, CASE WHEN s % 7 = 0 THEN 0 ELSE s * n END AS q, (n % 8 * 6)::DOUBLE AS r, ((s % 9 - 6) * 50)::DOUBLE AS g FROM u),
+t AS (SELECT *, CASE WHEN q = 0 OR r <= 10 THEN 0 WHEN g < -100 THEN q / (r - g) ELSE q / r END AS x, floor(x)::BIGINT AS f FROM q)
+SELECT user_id, CASE WHEN q = 0 THEN '--' WHEN r <= 10 THEN '..' ELSE CASE WHEN g < -100 THEN '' ELSE '>' END ||
+CASE WHEN x < 1 THEN '<1s' WHEN f < 60 THEN f || 's' WHEN f < 3600 THEN f // 60 || 'm' || f % 60 || 's' ELSE f // 3600 || 'h' || f % 3600 // 60 || 'm' END END AS eta FROM t"""
 
 
 def delta_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -518,6 +546,10 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "max_multiplicity": (on_members(A.max_multiplicity), TOP),
     "prevalence_topk": (on_members(lambda m: A.prevalence(m, 3)), PREVALENCE),
     "distribution_pivot": (on_members(lambda m: A.histogram_pivot(m, [1, 2, 3, 4, 5])), PIVOT),
+    "report_prevalence": (on_members(lambda m: A.prevalence(m).drop("place")), ALL_PREVALENCE),
+    "report_distribution": (on_members(report.distribution), DISTRIBUTION),
+    "report_reuse": (on_members(report.reuse), REUSE),
+    "report_growth": (report_growth, REPORT_GROWTH),
     "count_signature": (count_signature, COUNT_SIGNATURE),
     "multi_key_sort": (multi_key_sort, M_DISTRIBUTION),
     "growth_ratio": (growth_ratio, GROWTH),
@@ -548,4 +580,5 @@ ALL: dict[str, tuple[Query, str | None]] = {
     "top_orders": (top_orders, TOP_ORDERS),
     **REPORT,
     **GRAPH,
+    **STREAMS,
 }

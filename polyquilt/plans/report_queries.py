@@ -79,11 +79,12 @@ FIRST = _SIDE.format("left", "o_orderstatus <> 'F'", "o_orderstatus = 'F'") + "
 
 
 def delete_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers less those that have an order."""
-    return P.delete(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    """Customers less those that have a finished order of high priority."""
+    gone = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')")
+    return P.delete(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), gone.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
-DELETE = "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"
+DELETE = "SELECT c_custkey, c_nationkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH'))"
 
 
 def counter_update(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,11 +97,11 @@ COUNTERS = "SELECT coalesce(n_nationkey, nation) AS nation, coalesce(n_regionkey
 
 
 def seeded_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O10."""
-    return P.seeded_pick(table(spark, sf_dir, "orders"), "o_orderkey", 7)
+    """One order of those still open."""
+    return P.seeded_pick(table(spark, sf_dir, "orders"), "o_orderkey", 7, F.col("o_orderstatus") == "O")
 
 
-PICK = "SELECT arg_min(o_orderkey, md5('7:' || o_orderkey)) AS o_orderkey FROM orders"
+PICK = "SELECT arg_min(o_orderkey, md5('7:' || o_orderkey)) AS o_orderkey FROM orders WHERE o_orderstatus = 'O'"
 
 
 def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from polyquilt.operators import chunking, crossings, graph, lattice
+from polyquilt.functions import hooks
+from polyquilt.operators import chunking, crossings, graph, lattice, layout
 from polyquilt.operators.tables import numbered
 
 
@@ -242,3 +243,45 @@ def test_lattices_pass_on_full_tables(spark, monkeypatch):
     data = [(k % 11, k, k * k) for k in range(90)]
     made = {r[0]: [[int(x) for x in v] for v in r[2]] for r in lattice.basis(frame(spark, data, "g int, x int, y int"), "g", ["x", "y"]).collect()}
     assert made == {g: lattice.hermite([[x, y] for h, x, y in data if h == g]) for g in range(11)}
+
+
+# --- layout and table functions ---
+
+
+def test_stress_never_rises_and_settles(spark):
+    rnd = random.Random(1)
+    nodes = {k: (rnd.random(), rnd.random()) for k in range(8)}
+    points = {k: (rnd.random() * 3, rnd.random() * 3) for k in range(8)}
+    pairs = frame(spark, [(a, b, math.dist(points[a], points[b])) for a, b in itertools.combinations(range(8), 2)] + [(1, 1, 2.0), (0, 1, None), (2, 3, 0.0)], "a int, b int, d double")
+    at = frame(spark, [(k, *p) for k, p in nodes.items()] + [(50, 9.0, 9.0)], "node int, x double, y double")
+    seen = [layout.stress(pairs, at).first().stress]
+    for _ in range(4):
+        at = layout.layout(pairs, at, 1)
+        seen.append(layout.stress(pairs, at).first().stress)
+    assert all(b < a for a, b in itertools.pairwise(seen))
+    assert {r.node: (r.x, r.y) for r in at.collect()}[50] == (9.0, 9.0)
+    exact = frame(spark, [(k, *p) for k, p in points.items()], "node int, x double, y double")
+    moved = {r.node: (r.x, r.y) for r in layout.step(pairs, exact).collect()}
+    assert all(math.dist(moved[k], points[k]) < 1e-9 for k in points) and layout.stress(pairs, exact).first().stress < 1e-18
+
+
+@pytest.mark.parametrize("mirror", [1, -1])
+def test_align_undoes_a_turn_and_a_mirror(spark, mirror):
+    target = [(k, math.cos(k) * k, math.sin(2 * k)) for k in range(9)]
+    c, s = math.cos(0.7), math.sin(0.7)
+    turned = [(k, c * x - s * y * mirror + 5, s * x + c * y * mirror - 2) for k, x, y in target]
+    schema = "node int, x double, y double"
+    made = layout.align(frame(spark, [*turned, (99, 0.0, 0.0)], schema), frame(spark, target, schema))
+    got = {r.node: (r.x, r.y) for r in made.collect()}
+    assert all(math.dist(got[k], (x, y)) < 1e-9 for k, x, y in target) and 99 in got
+
+
+def test_gap_runs_from_sql(spark):
+    hooks.register(spark, "gap_runs", hooks.GapRuns)
+    data = [("a", 1), ("a", 3), ("a", 10), ("a", None), ("b", 7), (None, 4), (None, 5), ("c", None)]
+    frame(spark, data, "key string, at long").createOrReplaceTempView("steps")
+    made = spark.sql("SELECT * FROM gap_runs(TABLE(steps) PARTITION BY (key) ORDER BY (at), 2L)")
+    assert rows(made) == sorted([("a", 0, 1, 3, 2), ("a", 1, 10, 10, 1), ("b", 0, 7, 7, 1), (None, 0, 4, 5, 2)], key=repr)
+    for call, text in (("TABLE(SELECT 1 AS at), 2L", "needs the columns"), ("TABLE(steps)", "takes 1 constants"), ("1, 2", "takes a table")):
+        with pytest.raises(Exception, match=text):
+            spark.sql(f"SELECT * FROM gap_runs({call})")

@@ -20,16 +20,22 @@ def test_report_of_results(spark, found, tmp_path):
     rows = found.collect()
     base = {t.type_id: t.symbol[: t.symbol.index(")") + 1] for t in catalog.vertex_types()}
     members = report.result_members(found)
-    report.write_report(members, found, 2, str(tmp_path / "r"))
+    report.write_report(members, found, str(tmp_path / "r"))
     read = lambda name: [tuple(r) for r in spark.read.option("header", True).csv(str(tmp_path / "r" / name)).collect()]
     sizes = Counter((str(r["k"]), r["combo"].split("_")[1], ) for r in rows)
-    assert sorted(read("polygon_sizes")) == sorted((k, s, str(n)) for (k, s), n in sizes.items())
+    assert sorted(read("polygon_signatures")) == sorted((k, s, str(n)) for (k, s), n in sizes.items())
     uses = Counter(b for r in rows for b in {base[t] for t in r["types"]})
-    want = sorted(uses.items(), key=lambda x: (-x[1], x[0]))[:20]
-    assert sorted(read("configuration_frequency")) == sorted((b, str(n)) for b, n in want)
-    assert sum(int(n) for *_, n in read("reuse")) == len(rows) == 30
+    assert [(b, str(n)) for b, n in sorted(uses.items(), key=lambda x: (-x[1], x[0]))[:20]] == [(b, str(n)) for b, n in map(tuple, report.overall_top(members, 20).collect())]
+    by_k = Counter((str(r["k"]), b) for r in rows for b in {base[t] for t in r["types"]})
+    totals = Counter(str(r["k"]) for r in rows)
+    assert sorted((k, b, n, float(share)) for k, b, n, share in read("configuration_prevalence")) == sorted((k, b, str(n), round(n / totals[k], 6)) for (k, b), n in by_k.items())
+    spread = Counter((str(r["k"]), len({base[t] for t in r["types"]})) for r in rows)
+    assert sorted(read("m_distribution")) == [(k, str(spread[k, 1]), str(spread[k, 2]), str(totals[k])) for k in sorted(totals)]
+    assert sum(int(n) for *_, n in read("reuse_statistics")) == len(rows) == 30
+    assert {k: t for k, t, *_ in read("reuse_statistics")} == {k: str(n) for k, n in totals.items()}
+    assert sorted(read("growth")) == [("1", "10", None), ("2", "20", "2.0")]
     with pytest.raises(Exception, match="(?i)exists"):
-        report.write_report(members, found, 2, str(tmp_path / "r"))
+        report.write_report(members, found, str(tmp_path / "r"))
 
 
 def test_empty_and_null(spark):

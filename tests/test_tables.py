@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from polyquilt.functions import codec, geometry, text
 from polyquilt.functions.states import frame, pack
-from polyquilt.operators import reconcile, search
+from polyquilt.operators import analytics, reconcile, report, search
 from polyquilt.sources import solutions, tilings
 from polyquilt.streaming import convert
 
@@ -169,3 +169,25 @@ def test_stream_converts_once_and_retries(spark, documents, tmp_path):
 
 def test_stable_ids_are_framed_by_source():
     assert codec.document_id("f" * 64, 3).hex() != codec.document_id("e" * 64, 3).hex() and len(frame((0,))) == 3
+
+
+def test_a_rate_keeps_two_rows(spark):
+    """Equal to a queue that drops its oldest rows but two."""
+    from datetime import datetime, timedelta
+
+    seconds = [0, 5, 5, 40, 4000, 4000, 4001, 90000, 90000.2]
+    own = spark.createDataFrame([(1, k, datetime(2024, 1, 1) + timedelta(seconds=s)) for k, s in enumerate(seconds)], "g int, i int, t timestamp")
+    got = {r.i: (r.in_frame, r.rate) for r in analytics.sliding_rate(own, "g", "t", "30 SECONDS", "i").collect()}
+    held, want = [], {}
+    for k, s in enumerate(seconds):
+        held.append(s)
+        while len(held) > 2 and s - held[0] > 30:
+            held.pop(0)
+        want[k] = (len(held), round((len(held) - 1) / (s - held[0]), 9) if s - held[0] > 0.5 else 0.0)
+    assert got == want
+
+
+def test_eta_classes(spark):
+    rows = spark.createDataFrame([(0, 50.0, 0.0), (100, 10.0, 0.0), (7300, 20.0, -100.0), (7300, 20.0, -101.0), (5, 11.0, 5.0), (None, 50.0, 1.0)], "q long, r double, g double")
+    got = [r[0] for r in rows.select(analytics.eta_class(F.col("q"), F.col("r"), F.col("g"), report.duration_text)).collect()]
+    assert got == ["--", "..", ">6m5s", "1m0s", "><1s", None]
