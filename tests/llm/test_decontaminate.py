@@ -15,14 +15,26 @@ def edit_distance(item, text):
     return min(row)
 
 
-def test_distance_against_brute_force():
+def test_distances_against_brute_force():
+    """All rows at once: items of one lane and of several, runs of all lengths, runs without enough of the words."""
     rnd = random.Random(3)
-    items = [" ".join(rnd.choice("abcdef") for _ in range(rnd.randrange(1, 90))) for _ in range(60)]
-    index = D.Index(list(enumerate(items)))
-    code = {c: int(D.words_of(np.frombuffer(c.encode(), np.uint8), np.array([0, 1]))[0][0]) for c in "abcdef"}
-    for k, item in enumerate(items):
-        text = [rnd.choice("abcdef") for _ in range(rnd.randrange(0, 120))]
-        assert index.distance(k, [code[c] for c in text]) == edit_distance(item.split(), text)
+    items = [" ".join(rnd.choice("abcdef") for _ in range(rnd.choice([1, 2, 5, 30, 62, 63, 64, 90, 126, 127, 200]))) for _ in range(60)]
+    index = D.Index(list(enumerate(dict.fromkeys(items))))
+    items = list(dict.fromkeys(items))
+    texts = []
+    for item in items:
+        words = item.split()
+        for _ in range(rnd.randrange(len(words) // 3 + 1)):
+            p = rnd.randrange(len(words)) if words else 0
+            words[p : p + 1] = rnd.choice([[rnd.choice("abcdefx")], [], ["a", "b"]])
+        texts.append([rnd.choice("abcx") for _ in range(rnd.randrange(9))] + words + [rnd.choice("abcx") for _ in range(rnd.randrange(30))])
+    words, _ = D.words_of(np.frombuffer(" ".join(w for t in texts for w in t).encode(), np.uint8), np.array([0, sum(len(w) + 1 for t in texts for w in t) - 1]))
+    ends = np.cumsum([len(t) for t in texts])
+    got = index.distances(words, np.arange(len(items)), ends - [len(t) for t in texts], ends)
+    for k, (item, text) in enumerate(zip(items, texts)):
+        want = edit_distance(item.split(), text)
+        assert got[k] == want or (want > index.edits[k] and got[k] == len(item.split()) + 1), (k, got[k], want)
+    assert sum(got <= index.edits) > 30
 
 
 def planted(items, prose, rate, seed):
@@ -77,7 +89,7 @@ def edited(words, kind, rnd):
 def test_all_width_classes_at_the_most_edits(prose):
     """At 20 % edits of each kind nothing is missed, in items of each width class, short and long ones."""
     rnd = random.Random(20)
-    sizes = [1, 3, 5, 7, 9, 10, 14, *[w + x for w in D.WIDTHS for x in (3, 6)], 640]
+    sizes = list(dict.fromkeys([1, 3, 5, 7, 9, 10, 14, *[w + x for w in (8, 12, 16, 24, 32, 48, 64, 96, 128, 192, 256, 384, 512) for x in (3, 6)], 640]))
     items = [prose(n, 30000 + n) for n in sizes]
     index = D.Index(list(enumerate(items)))
     for kind in ("deleted", "swapped", "added", "mixed"):
@@ -88,3 +100,53 @@ def test_all_width_classes_at_the_most_edits(prose):
             assert [t for t in range(4) if (t, k) in got] == [0, 1, 2, 3], (kind, sizes[k])
             if sizes[k] < 70:
                 assert got[0, k] == edit_distance(item.split(), texts[0].split())
+
+
+def blob(texts):
+    own = [t.encode() for t in texts]
+    return np.frombuffer(b"".join(own), np.uint8), np.r_[0, np.cumsum([len(b) for b in own])]
+
+
+def test_hits_come_through_the_embedding(prose):
+    """Without its keys the index finds nothing, and with fewer repetitions it finds less."""
+    rnd = random.Random(6)
+    items = [prose(n, 700 + n) for n in range(13, 63)]
+    index = D.Index(list(enumerate(items)))
+    texts = [" ".join([prose(30, n), *edited(i.split(), "mixed", rnd)]) for n, i in enumerate(items)]
+    whole = index.search(*blob(texts))
+    assert len([1 for k in range(len(items)) if (k, k) in whole]) == len(items)
+    classes = index.classes
+    index.classes = [(w, s, f, tables[:1]) for w, s, f, tables in classes]
+    some = index.search(*blob(texts))
+    assert set(some) < set(whole) and all(whole[p] == d for p, d in some.items())
+    index.classes = []
+    assert index.search(*blob(texts)) == {}
+
+
+def test_repetitions_follow_the_measured_agreement():
+    """Longer walks agree less and take more keys; more windows take fewer; items without edits take one."""
+    assert D.repetitions(4, 0, 4, 1) == 1
+    assert D.repetitions(15, 3, 8, 4) > D.repetitions(30, 6, 8, 4) > D.repetitions(90, 18, 8, 4)
+    assert [D.width_of(n, n // 5)[0] for n in (5, 12, 13, 37, 59, 100, 640)] == [5, 12, 8, 12, 16, 24, 64]
+    assert list(D.AGREES.values()) == sorted(D.AGREES.values(), reverse=True)
+
+
+def test_templates_and_equal_items_are_cheap(prose):
+    """3,000 items of one template against one document: all of them, in well under a second; equal items once."""
+    import time
+
+    template = prose(38, 77).split()
+    items = [(k, " ".join([*template[:20], f"name{k}", *template[20:]])) for k in range(3000)] + [(9000 + k, " ".join(template)) for k in range(50)]
+    index = D.Index(items)
+    assert len(index.items) == 3001 and index.ids[3000] == list(range(9000, 9050))
+    text = prose(150, 78) + " " + " ".join([*template[:20], "other", *template[20:]]) + " " + prose(150, 79)
+    started = time.perf_counter()
+    got = index.search(*blob([text]))
+    assert time.perf_counter() - started < 3
+    assert got == {(0, k): 1 for k in range(3001)}
+
+
+def test_ids_of_any_type(spark, prose):
+    bench = spark.createDataFrame([("q-1", prose(30, 1)), ("q-2", prose(30, 1)), (None, prose(40, 2))], "item_id string, text string")
+    docs = spark.createDataFrame([("a", prose(30, 1)), ("b", prose(40, 2)), ("c", prose(90, 3))], "doc_id string, text string")
+    assert sorted(map(str, ((r.doc_id, r.item_id, r.edits) for r in D.matches(docs, bench).collect()))) == sorted(map(str, [("a", "q-1", 0), ("a", "q-2", 0), ("b", None, 0)]))
