@@ -104,6 +104,7 @@ def lane_hash(data: bytes) -> bytes:
 
 def document_id(fingerprint: str, entry: int) -> bytes:
     """the id of a converted document, from its source's fingerprint and its row."""
+    # fixed value: the domain of such ids
     return lane_hash(f"tes-source-v1:{fingerprint}:{entry}".encode())
 
 
@@ -126,6 +127,7 @@ def framed(parts: Iterable[bytes]) -> Iterable[bytes]:
 def fingerprint(entries: Iterable[tuple[int, str, str, str, str]]) -> str:
     """Logical fingerprint of (id, combo, signature, filename, document) rows in id order, whatever their layout."""
     h = hashlib.sha256()
+    # fixed values: the domain, format and compression that a fingerprint states
     for x in framed((b"tes-source-fingerprint-v2", b"1", b"zstd")):
         h.update(x)
     for i, *fields in entries:

@@ -56,20 +56,16 @@ def seed(type_id: int) -> tuple[tuple[int, ...], list[int]]:
 
 def problem(types: list[int] | None, glue: list[int] | None) -> str | None:
     """F16: what is wrong with a stored state, or None."""
+    known = catalog.vertex_types()
     if not types or glue is None:
-        return "state is empty"
-    if any(t is None or not 0 <= t < len(catalog.vertex_types()) for t in types):
-        return "state has invalid vertex type"
-    n = sum(catalog.vertex_types()[t].slots for t in types)
-    if n != len(glue):
-        return "state dart count does not match vertex types"
-    if n > MAX_DARTS:
-        return "state has too many darts"
-    if any(g is None or g < -1 or g >= n for g in glue):
-        return "state has invalid glue index"
-    if any(g >= 0 and glue[g] != i for i, g in enumerate(glue)):
-        return "state glue is not an involution"
-    return None
+        return "no vertex types, or no gluing"
+    if strange := set(types).difference(range(len(known))):
+        return f"vertex types that the catalogue lacks: {strange}"
+    slots = sum(known[t].slots for t in types)
+    if len(glue) != slots or slots > MAX_DARTS:
+        return f"{len(glue)} glued darts for {slots} slots, of {MAX_DARTS} at most"
+    joined = {(i, g) for i, g in enumerate(glue) if g != -1}
+    return None if joined == {(g, i) for i, g in joined} else "darts that are not glued to each other"
 
 
 def pack(types: list[int], glue: list[int]) -> bytes:
@@ -77,29 +73,21 @@ def pack(types: list[int], glue: list[int]) -> bytes:
     if why := problem(types, glue):
         raise ValueError(why)
     if len(types) > 65535:
-        raise ValueError("state has too many vertices")
+        raise ValueError(f"{len(types)} vertices do not fit into two bytes")
     head = b"\x00\x02" + len(types).to_bytes(2, "little") + len(glue).to_bytes(2, "little")
     return head + bytes(types) + b"".join(g.to_bytes(2, "little", signed=True) for g in glue)
 
 
 def unpack(data: bytes) -> tuple[list[int], list[int]]:
     """The reverse of ``pack``; also the older form, whose header is two one-byte counts."""
-    if not data:
-        raise ValueError("truncated state header")
-    if data[0] == 0:
-        if len(data) > 1 and data[1] != 2:
-            raise ValueError("unsupported state version")
-        if len(data) < 6:
-            raise ValueError("truncated state header")
-        k, n, at = int.from_bytes(data[2:4], "little"), int.from_bytes(data[4:6], "little"), 6
-    elif len(data) < 2:
-        raise ValueError("truncated state header")
-    else:
-        k, n, at = data[0], data[1], 2
-    if not k or not n or n > MAX_DARTS:
-        raise ValueError("invalid state dimensions")
-    if len(data) != at + k + 2 * n:
-        raise ValueError("truncated state" if len(data) < at + k + 2 * n else "trailing state data")
+    old = data[:1] not in (b"", b"\x00")
+    width = 1 if old else 2
+    at = 2 * width if old else 6
+    if len(data) < at or not (old or data[1] == 2):
+        raise ValueError(f"no header of a packed state: {data[:6].hex()}")
+    k, n = (int.from_bytes(data[x : x + width], "little") for x in (at - 2 * width, at - width))
+    if not (k and 0 < n <= MAX_DARTS) or len(data) != at + k + 2 * n:
+        raise ValueError(f"{len(data)} bytes are not a state of {k} vertices and {n} darts")
     types = list(data[at : at + k])
     glue = [int.from_bytes(data[at + k + 2 * i : at + k + 2 * i + 2], "little", signed=True) for i in range(n)]
     if why := problem(types, glue):

@@ -180,106 +180,85 @@ def parse_reference(text: str) -> tuple[int, int]:
     return tile, edge
 
 
+#: A pair of a Conway text: one or two references in round brackets, or in square ones where it is mirrored.
+_PAIR = re.compile(r"\s*(?:\(\s*(?P<plain>[^()\[\]]*?)\s*\)|\[\s*(?P<mirrored>[^()\[\]]*?)\s*\])")
+
+
 def make_tiling(sides: list[int], repeats: list[int] | None, pairs: str) -> Tiling:
     """A checked description from polygon sides, repeats and a Conway text."""
     repeats = repeats or [1] * len(sides)
-    if not sides or len(repeats) != len(sides):
-        raise ValueError("no polygons, or repeats that do not match them")
-    for s, r in zip(sides, repeats, strict=True):
-        if s < 3 or 12 % s:
-            raise ValueError(f"polygon of {s} sides: only divisors of 12 can be developed")
-        if r <= 0 or s % r:
-            raise ValueError("invalid repeat")
+    if not sides or len(sides) != len(repeats):
+        raise ValueError(f"{len(sides)} polygons with {len(repeats)} repeats")
+    odd = [(s, r) for s, r in zip(sides, repeats, strict=True) if s not in (3, 4, 6, 12) or r < 1 or s % r]
+    if odd:
+        raise ValueError(f"polygons (sides, repeat) that cannot be developed: {odd}")
+    free = {(tile, edge) for tile, (s, r) in enumerate(zip(sides, repeats, strict=True)) for edge in range(s // r)}
     t = Tiling(sides, repeats, [[None] * (s // r) for s, r in zip(sides, repeats, strict=True)])
-    rest = pairs.strip()
-    while rest:
-        m = re.match(r"(\(|\[)([^()\[\]]*)(\)|\])\s*", rest)
-        if not m or (m[1] == "(") != (m[3] == ")"):
-            raise ValueError("invalid Conway text: expected a bracketed pair")
-        names = m[2].split()
-        if len(names) not in (1, 2):
-            raise ValueError("a pair has one or two references")
-        a, b = parse_reference(names[0]), parse_reference(names[-1])
-        for tile, edge in {a, b}:
-            if tile >= len(sides) or edge >= len(t.meets[tile]):
-                raise ValueError("reference is outside the polygons")
-            if t.meets[tile][edge] is not None:
-                raise ValueError("pattern edge is paired more than once")
-        mirrored = m[1] == "["
-        t.meets[a[0]][a[1]] = (*b, mirrored)
-        t.meets[b[0]][b[1]] = (*a, mirrored)
-        rest = rest[m.end() :]
-    if any(x is None for row in t.meets for x in row):
-        raise ValueError("incomplete adjacency")
+    at, text = 0, pairs.rstrip()
+    while at < len(text):
+        m = _PAIR.match(text, at)
+        if not m:
+            raise ValueError(f"no pair of references at {at} of the Conway text")
+        at = m.end()
+        ends = [parse_reference(x) for x in (m["plain"] or m["mirrored"] or "").split()]
+        if not 1 <= len(ends) <= 2:
+            raise ValueError(f"{m[0].strip()} joins {len(ends)} edges")
+        if not free.issuperset(ends):
+            raise ValueError(f"{m[0].strip()} names an edge that no polygon has or that is joined already")
+        free.difference_update(ends)
+        for (tile, edge), other in zip(ends, ends[::-1], strict=True):
+            t.meets[tile][edge] = (*other, m["mirrored"] is not None)
+    if free:
+        raise ValueError(f"edges that nothing meets: {sorted(free)}")
     return t
 
 
-_TOKEN = re.compile(r'\s+|##[^\n]*|([A-Za-z][A-Za-z0-9_]*)|([0-9]+)|("[^"\\]*")|([().,])')
+#: What may stand between two tokens: blanks, and comments to the end of their line.
+_GAP = r"(?:\s|##[^\n]*+)*+"
+#: The directives of a document, token by token.
+_FORMS = {
+    "e2": ("e2", r"\."),
+    "angleunit": ("angleunit", r"\(", "deg", r"\)"),
+    "unittile": ("unittile", r"\(", rf"([0-9]+(?:{_GAP},{_GAP}[0-9]+)*)", r"\)"),
+    "conway": ("conway", r"\(", r'"([^"\\]*)"', r"\)"),
+    "repeat": ("repeat", r"\(", "([0-9]+)", ",", "([0-9]+)", r"\)"),
+}
+_FORMS_RE = {name: re.compile(_GAP.join(tokens)) for name, tokens in _FORMS.items()}
+#: How often a document has each directive: at least, at most (None: any number).
+_TIMES = {"e2": (1, 1), "angleunit": (1, 1), "unittile": (1, None), "conway": (1, 1), "repeat": (0, None)}
+
+
+def _directives(document: str) -> dict[str, list[tuple[str, ...]]]:
+    """The arguments of each directive, in order of the document."""
+    found: dict[str, list[tuple[str, ...]]] = {name: [] for name in _FORMS}
+    gap = re.compile(_GAP)
+    at = gap.match(document).end()
+    while at < len(document):
+        for name, form in _FORMS_RE.items():
+            if m := form.match(document, at):
+                break
+        else:
+            raise ValueError(f"no directive of a document at {at}: {document[at : at + 20]!r}")
+        found[name].append(m.groups())
+        at = gap.match(document, m.end()).end()
+    return found
 
 
 def parse_document(document: str) -> Tiling:
     """strict parser: e2., angleunit(deg), unittile(...)..., conway("..."), repeat(i,n)."""
-    tokens, at = [], 0
-    while at < len(document):
-        m = _TOKEN.match(document, at)
-        if not m:
-            raise ValueError(f"invalid document at {at}")
-        if m.lastindex:
-            tokens.append(m[0])
-        at = m.end()
-    text = iter(tokens)
-
-    def take(wanted: str | None = None, number: bool = False):
-        t = next(text, None)
-        if t is None or (wanted is not None and t != wanted) or (number and not t.isdigit()):
-            raise ValueError(f"expected {wanted or 'a number'}")
-        if number and int(t) > INT_MAX:
-            raise ValueError("integer is out of range")
-        return int(t) if number else t
-
-    seen: set[str] = set()
-    sides: list[int] = []
-    repeats: dict[int, int] = {}
-    pairs = ""
-    for word in text:
-        if word in seen and word in ("e2", "angleunit", "conway"):
-            raise ValueError(f"duplicate {word} directive")
-        seen.add(word)
-        if word == "e2":
-            take(".")
-        elif word == "angleunit":
-            take("("), take("deg"), take(")")
-        elif word == "unittile":
-            take("(")
-            angles = [take(number=True)]
-            while (t := take()) == ",":
-                angles.append(take(number=True))
-            if t != ")" or len(angles) not in SIZES or set(angles) != {180 - 360 // len(angles)}:
-                raise ValueError("unittile is not a supported regular polygon")
-            sides.append(len(angles))
-        elif word == "conway":
-            take("(")
-            pairs = take()
-            if not pairs.startswith('"'):
-                raise ValueError("expected quoted Conway string")
-            pairs = pairs[1:-1]
-            take(")")
-        elif word == "repeat":
-            take("(")
-            tile = take(number=True)
-            take(",")
-            if tile in repeats:
-                raise ValueError("duplicate repeat")
-            repeats[tile] = take(number=True)
-            take(")")
-        else:
-            raise ValueError(f"unsupported directive {word!r}")
-    for word in ("e2", "angleunit", "unittile", "conway"):
-        if word not in seen:
-            raise ValueError(f"missing {word} directive")
-    if any(t >= len(sides) for t in repeats):
-        raise ValueError("repeat tile index is out of range")
-    return make_tiling(sides, [repeats.get(k, 1) for k in range(len(sides))], pairs)
+    found = _directives(document)
+    for name, (least, most) in _TIMES.items():
+        if len(found[name]) < least or (most is not None and len(found[name]) > most):
+            raise ValueError(f"{name} stands {len(found[name])} times in a document")
+    regular = {",".join([str(180 - 360 // s)] * s): s for s in SIZES}
+    angles = [re.sub(_GAP + "," + _GAP, ",", a) for (a,) in found["unittile"]]
+    angles = [",".join(str(int(x)) for x in a.split(",")) for a in angles]
+    if unknown := [a for a in angles if a not in regular]:
+        raise ValueError(f"angles of no regular polygon that can be developed: {unknown[0]}")
+    repeats = dict((int(tile), int(n)) for tile, n in found["repeat"])
+    if len(repeats) < len(found["repeat"]) or any(tile >= len(angles) for tile in repeats):
+        raise ValueError("a repeat of a polygon that has one already or is not there")
+    return make_tiling([regular[a] for a in angles], [repeats.get(k, 1) for k in range(len(angles))], found["conway"][0][0])
 
 
 def parse_document_leniently(document: str) -> dict[str, object]:
@@ -300,68 +279,55 @@ def render_document(t: Tiling, pairs: str, title: str) -> str:
 
 
 def faces(f: Frame, glue: list[int]) -> tuple[Tiling, str, list[str]]:
-    """the polygons of a complete state, the Conway text over their edges, and a line for each cycle.
+    """the polygons of a complete state, the Conway text over their edges, and a line for each.
 
-    A cycle is a closed run of corners; its mirror image comes right after it.  Where every
-    cycle differs from its image, one of each pair is enough and pairs may be mirrored.
+    A polygon is an orbit of corners under the step to the next one; it is named by its least
+    corner, and stands beside its mirror image in the order of the lesser name of both.
+    Where no polygon is its own image, one of each two is enough, and edges of a polygon and
+    of an image are joined by a mirrored pair.
     """
-    seen = bytearray(len(glue))
-    cycles: list[tuple[list[int], int, int]] = []  # corners, repeat, 0 alone / 1 first / 2 image
-    for begin in range(len(glue)):
-        if seen[begin]:
-            continue
-        pair = []
-        at = begin
-        for which in (1, 2):
-            corners = []
-            while not seen[at]:
-                seen[at] = 1
-                corners.append(at)
-                at = glue[f.right[at]]
-            pair.append([corners, f.size[f.right[corners[0]]] // len(corners), which])
-            image = min(f.mirror[f.right[c]] for c in corners)
-            if which == 1 and seen[image]:
-                pair[0][2] = 0
-                break
-            at = image
-        cycles += map(tuple, pair)
-    chiral = all(kind for _, _, kind in cycles)
+    step = [glue[r] for r in f.right]
+    orbit: dict[int, list[int]] = {}  # name: corners from the least on
+    name = [-1] * len(step)
+    for corner in range(len(step)):
+        if name[corner] < 0:
+            orbit[corner] = []
+            while name[corner] < 0:
+                name[corner] = next(reversed(orbit))
+                orbit[name[corner]].append(corner)
+                corner = step[corner]
+    image = {a: name[f.mirror[f.right[a]]] for a in orbit}
+    chiral = all(a != b for a, b in image.items())
+    order = sorted(orbit, key=lambda a: (min(a, image[a]), a))
+    size = {a: f.size[f.right[a]] for a in orbit}
+
+    def head(place: int, a: int) -> str:
+        if image[a] == a:
+            return f"{place}: "
+        first = place if a < image[a] else place - 1
+        text = f"{first // 2}: " if chiral else f"{first}/{first + 1}: "
+        return text if first == place else " " * len(text)
+
     lines = []
-    for m, (corners, repeat, kind) in enumerate(cycles):
-        body = "-".join(f"{label(f, c)}/{label(f, f.right[c])}({f.size[f.right[c]]})" for c in corners)
-        body = f"[{body}]x{repeat}" if repeat != 1 else body
-        head = f"{m}: " if kind == 0 else (f"{m // 2}: " if chiral else f"{m}/{m + 1}: ") if kind == 1 else " " * len(f"{(m - 1) // 2}: " if chiral else f"{m - 1}/{m}: ")
-        lines.append(head + body)
-    work = cycles[::2] if chiral else cycles
-    # an edge runs from a corner's left dart to the right dart of the corner before it
-    edges: list[tuple[int, int, str]] = []
-    for m, (corners, _, _) in enumerate(work):
-        for e, c in enumerate(corners):
-            edges.append((f.right[c], c, f"{e}{tile_suffix(m)}"))
-    # rotate so that edge e starts with the right dart before corner e
-    turned: list[tuple[int, int, str]] = []
-    at = 0
-    for corners, _, _ in work:
-        own = edges[at : at + len(corners)]
-        turned += [(own[k - 1][0], own[k][1], own[k][2]) for k in range(len(own))]
-        at += len(own)
-    left = [x[0] for x in turned]
-    right = [x[1] for x in turned]
-    names = [x[2] for x in turned]
+    for place, a in enumerate(order):
+        times = size[a] // len(orbit[a])
+        body = "-".join(f"{label(f, c)}/{label(f, f.right[c])}({f.size[f.right[c]]})" for c in orbit[a])
+        lines.append(head(place, a) + (body if times == 1 else f"[{body}]x{times}"))
+
+    kept = [a for a in order if not chiral or a < image[a]]
+    # an edge runs from the dart on the right of the corner before to its own corner
+    edges = [(f.right[orbit[a][e - 1]], orbit[a][e], f"{e}{tile_suffix(tile)}") for tile, a in enumerate(kept) for e in range(len(orbit[a]))]
+    ending, starting = {end: n for _, end, n in edges}, {start: n for start, _, n in edges}
+    joined: set[str] = set()
     text = ""
-    while left:
-        first = left[0]
-        if first in right:
-            k = right.index(first)
-            text += f"({names[0]})" if k == 0 else f"({names[0]} {names[k]})"
-        elif chiral:
-            image = f.mirror[first]
-            k = left.index(image) if image in left else 0
-            text += f"[{names[0]} {names[k]}]" if k else f"[{names[0]}]"
-        else:
-            k = 0
-            text += f"({names[0]})"
-        for x in sorted({0, k}, reverse=True):
-            del left[x], right[x], names[x]
-    sides = [f.size[f.right[c[0]]] for c, _, _ in work]
-    return make_tiling(sides, [r for _, r, _ in work], text), text, lines
+    for start, _, own in edges:
+        if own in joined:
+            continue
+        other = ending.get(start)
+        mirrored = other is None
+        if mirrored:
+            other = starting[f.mirror[start]]
+        joined |= {own, other}
+        inside = own if own == other else f"{own} {other}"
+        text += f"[{inside}]" if mirrored else f"({inside})"
+    return make_tiling([size[a] for a in kept], [size[a] // len(orbit[a]) for a in kept], text), text, lines

@@ -258,12 +258,17 @@ def test_bad_varints(data):
 
 
 def test_record_codec_sorts_and_refuses_damage():
-    r = record([1, -2, 3, -4], [-5, 6, -7, 8], [[2, 0, 0, 0], [0, 0, 0, 0], [1, 1, 0, 0]])
-    data = codec.encode_record(r)
-    assert codec.decode_record(data).seeds[0] == (0, 0, 0, 0)
-    for bad in (data[:-1], data + b"\0", b"\x02" + data[1:]):
-        with pytest.raises(ValueError):
-            codec.decode_record(bad)
+    rnd = random.Random(12)
+    for _ in range(20):
+        side = lambda: [rnd.randrange(-300, 300) for _ in range(4)]
+        seeds = [side() for _ in range(rnd.randrange(1, 9))]
+        data = codec.encode_record(record(side(), side(), seeds))
+        assert sorted(codec.decode_record(data).seeds) == sorted(map(tuple, seeds))
+        assert codec.encode_record(codec.decode_record(data)) == data
+        cut = rnd.randrange(len(data))
+        for bad in (data[:cut], data + bytes([rnd.randrange(256)]), bytes([data[0] + 1]) + data[1:]):
+            with pytest.raises(ValueError):
+                codec.decode_record(bad)
 
 
 def test_fingerprint_and_checksums():
@@ -273,15 +278,31 @@ def test_fingerprint_and_checksums():
 
 
 def test_packed_states():
-    widest = max(range(44), key=lambda t: catalog.vertex_types()[t].slots)
-    n = catalog.vertex_types()[widest].slots
-    for k in (1, 30, 257):
-        for glue in ([-1] * (k * n), list(range(k * n))):
-            assert states.unpack(states.pack([widest] * k, glue)) == ([widest] * k, glue)
-    assert states.unpack(bytes([1, 3, 0]) + b"\xff" * 6) == ([0], [-1, -1, -1])
-    for bad in (b"", b"\0\2\1", b"\0\3" + bytes(4), bytes([1, 3, 44]) + b"\xff" * 6, bytes([1, 3, 0]) + b"\xff" * 5, bytes([1, 3, 0]) + b"\1\0\2\0\0\0"):
+    rnd = random.Random(9)
+    for k in (1, 2, 7, 120, 400):
+        types = [rnd.randrange(44) for _ in range(k)]
+        n = sum(catalog.vertex_types()[t].slots for t in types)
+        glue = [-1] * n
+        free = rnd.sample(range(n), n)
+        while len(free) > n // 3:  # some darts glued to each other or to themselves, others free
+            a = free.pop()
+            b = free.pop() if free and rnd.random() < 0.8 else a
+            glue[a], glue[b] = b, a
+        data = states.pack(types, glue)
+        assert states.unpack(data) == (types, glue)
+        for cut in {0, 1, 5, rnd.randrange(len(data)), len(data) - 1}:
+            with pytest.raises(ValueError):
+                states.unpack(data[:cut])
+        with pytest.raises(ValueError):
+            states.unpack(data + b"\x00")
+    slots = catalog.vertex_types()[5].slots
+    older = bytes([1, slots, 5]) + b"\xff\xff" * slots
+    assert states.unpack(older) == ([5], [-1] * slots)
+    for at, value in ((0, 2), (1, slots + 1), (2, 200), (3, slots)):
         with pytest.raises(ValueError):
-            states.unpack(bad)
+            states.unpack(older[:at] + bytes([value]) + (b"\x00" if at == 3 else older[at + 1 : at + 2]) + older[at + 2 :])
+    for glue in ([1] + [-1] * (slots - 1), [None] * slots, [-2] * slots, [slots] + [-1] * (slots - 1)):
+        assert states.problem([5], glue)
 
 
 def test_names_and_ranges():
@@ -294,10 +315,15 @@ def test_names_and_ranges():
     for bad in ("eu_raw_zz_3", "eu_0q_2", "un_5a_1", "eu_5a_last"):
         with pytest.raises(ValueError):
             text.legacy_k(bad)
-    assert text.parse_range("1-3,5,3") == [1, 2, 3, 5]
-    for bad in ("0,1", "21", "", "3-1"):
-        with pytest.raises(ValueError):
-            text.parse_range(bad)
+    rnd = random.Random(4)
+    for _ in range(30):
+        parts = [(a, rnd.randrange(a, 21)) for a in (rnd.randrange(1, 21) for _ in range(rnd.randrange(1, 5)))]
+        spec = ",".join(str(a) if a == b else f"{a}-{b}" for a, b in parts)
+        assert text.parse_range(spec) == sorted({n for a, b in parts for n in range(a, b + 1)})
+        a, b = parts[0]
+        for bad in (f"{spec},", f"{b + 1}-{a}", f"{spec},{b + 20}", f"{spec};{a}"):
+            with pytest.raises(ValueError):
+                text.parse_range(bad)
 
 
 def test_unit_plan_covers_all_prefixes_once():
