@@ -29,6 +29,8 @@ from polyquilt.llm import common
 
 #: Entries of a worker's chunk memo; when it is full it becomes the older memo, which is asked before work is done anew.
 MEMO_ENTRIES = 200_000
+#: Bytes of a chunk that is kept in a memo: with its ids an entry takes some 500 bytes at most, both memos 200 MB.
+MEMO_BYTES = 64
 NO_RANK = np.int64(1) << 40
 #: Marks that never join a contraction.
 MARKS = frozenset((b".", b",", b"!", b"?", b";", b":"))
@@ -316,6 +318,12 @@ def _missing(memos: dict, path: str, found: list[bytes]) -> tuple[dict, list[byt
     return memo, new
 
 
+def _found(memo: dict, made: dict, found: list[bytes]) -> list:
+    """What ``made`` and the memo have of the chunks; short ones go into the memo, long ones with their block."""
+    memo.update((c, x) for c, x in made.items() if len(c) <= MEMO_BYTES)
+    return [made[c] if c in made else memo[c] for c in found]
+
+
 def _split(v: Vocabulary, chunks: list[bytes]) -> tuple[list[list[bytes | int]], dict[bytes, int]]:
     """The pieces of each chunk, and the distinct pieces' numbers."""
     split = [v.pieces(c) for c in chunks]
@@ -333,9 +341,10 @@ def chunk_sizes(path: str, found: list[bytes]) -> list[int]:
     memo, new = _missing(_SIZES, path, found)
     split, place = _split(v, new)
     size = dict(zip(place, merged_sizes(v, list(place)).tolist(), strict=True))
+    made = {}
     for c, pieces in zip(new, split, strict=True):
-        memo[c] = size[pieces[0]] if len(pieces) == 1 and type(pieces[0]) is bytes else sum(size[p] if type(p) is bytes else 1 for p in pieces)
-    return list(map(memo.__getitem__, found))
+        made[c] = size[pieces[0]] if len(pieces) == 1 and type(pieces[0]) is bytes else sum(size[p] if type(p) is bytes else 1 for p in pieces)
+    return _found(memo, made, found)
 
 
 def chunk_ids(path: str, found: list[bytes]) -> list[bytes]:
@@ -346,9 +355,10 @@ def chunk_ids(path: str, found: list[bytes]) -> list[bytes]:
     flat, count = merged_ids(v, list(place))
     blob, ends = flat.astype("<u4").tobytes(), np.cumsum(4 * count).tolist()
     ids = {p: blob[a:b] for p, a, b in zip(place, [0, *ends], ends, strict=False)}
+    made = {}
     for c, pieces in zip(new, split, strict=True):
-        memo[c] = ids[pieces[0]] if len(pieces) == 1 and type(pieces[0]) is bytes else b"".join([ids[p] if type(p) is bytes else p.to_bytes(4, "little") for p in pieces])
-    return list(map(memo.__getitem__, found))
+        made[c] = ids[pieces[0]] if len(pieces) == 1 and type(pieces[0]) is bytes else b"".join([ids[p] if type(p) is bytes else p.to_bytes(4, "little") for p in pieces])
+    return _found(memo, made, found)
 
 
 def count_texts(path: str, column: pa.Array) -> np.ndarray:

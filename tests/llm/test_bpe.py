@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pyarrow as pa
@@ -80,3 +81,18 @@ def test_full_memo_starts_anew(monkeypatch):
     for text in ("alpha beta gamma", "beta delta", "epsilon zeta eta theta alpha", "beta alpha"):
         n, ids, _ = both(text)
         assert ids == expect(text)[0] and n == len(ids)
+
+
+def test_long_chunks_are_not_kept():
+    """Unspaced texts leave nothing in a worker's memos, and spaced ones no more than their bound."""
+    path = bpe.word_vocabulary_path()
+    rnd = random.Random(5)
+    long = ["".join(rnd.choice("abcdefghij") for _ in range(1500)) for _ in range(40)]
+    short = [f"word{k}" for k in range(50)]
+    bpe._SIZES.clear(), bpe._IDS.clear()
+    for text in (long, short, long):
+        column = pa.array([" ".join(text)])
+        bpe.count_texts(path, column), bpe.encode_texts(path, column)
+    for memos in (bpe._SIZES, bpe._IDS):
+        kept = [c for memo in memos[path] for c in memo]
+        assert set(map(bytes.decode, kept)) == set(short)
