@@ -17,8 +17,8 @@ if some run of its words is within ``floor(EDITS_PERCENT * n / 100)`` word edits
   replacements and mixtures (``AGREES``), and from the number of windows that each occurrence
   holds.  Long walks lose each other at so many edits, so the width is the widest of
   ``WIDTHS`` that needs at most ``MOST`` keys, or else the one that needs the fewest.
-* A window with more words foreign to all items than the least edited window of an
-  occurrence may have edits is not embedded; every occurrence keeps such a window.
+* A window with more words foreign to all items of its width than the least edited window
+  of an occurrence may have edits is not embedded; every occurrence keeps such a window.
 * Every hit is confirmed by exact word edit distance, for many hits at a time: a bit
   vector for each hit's column of the dynamic program, all moved by one word a step.
   Items of equal words are one.
@@ -86,6 +86,9 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return common.word_hashes(data, starts, ends), words
 
 
+_TIMES = np.uint64(0x9E3779B97F4A7C15)
+
+
 def samples(width: int, stride: int) -> int:
     return min(width, SAMPLES if stride > 1 else max(SAMPLES_WHOLE, width // 4))
 
@@ -104,12 +107,12 @@ def keys(words: np.ndarray, starts: np.ndarray, width: int, stride: int, t: int,
     out = np.full(len(starts), np.uint64((width << 16) + (stride << 10) + t), np.uint64)
     for j in range(int(steps[-1]) + 1):
         if j in steps:
-            out = common.mix(out ^ words[at])
+            out = (out ^ words[at]) * _TIMES
         if j < steps[-1]:
             if t not in walk:
                 walk[t] = common.mix(words + np.uint64(1_000_003 * t + 1))
             at += ((walk[t][at] >> np.uint64(j)) & np.uint64(1)).astype(np.int64)
-    return out
+    return out ^ (out >> np.uint64(29))
 
 
 class Sieve:
@@ -150,9 +153,9 @@ class Index:
         self.starts, self.sizes = np.array(starts, np.int64), np.array(ends, np.int64) - np.array(starts, np.int64)
         self.edits = percent * self.sizes // 100
         self.items = [words[a:b] for a, b in zip(starts, ends)]
-        self.vocabulary = np.unique(words)
-        #: (width, stride, words of a window that may be foreign, [(keys in order, item, shift)] by repetition)
-        self.classes: list[tuple[int, int, int, list[tuple[Sieve, np.ndarray, np.ndarray]]]] = []
+        self.vocabulary = Sieve(np.unique(words))
+        #: (width, stride, words of a window that may be foreign, the items' words, [(keys in order, item, shift)] by repetition)
+        self.classes: list[tuple[int, int, int, Sieve, list[tuple[Sieve, np.ndarray, np.ndarray]]]] = []
         groups: dict[tuple[int, int], list[int]] = {}
         walk: dict[int, np.ndarray] = {}
         for k, (n, e) in enumerate(zip(self.sizes.tolist(), self.edits.tolist())):
@@ -168,7 +171,8 @@ class Index:
                 key = keys(words, self.starts[item[pick]] + shift[pick], width, stride, t, walk)
                 order = np.argsort(key, kind="stable")
                 tables.append((Sieve(key[order]), item[pick][order], shift[pick][order]))
-            self.classes.append((width, stride, max(self._foreign(k, width, stride) for k in members), tables))
+            vocabulary = Sieve(np.unique(np.concatenate([self.items[k] for k in members])))
+            self.classes.append((width, stride, max(self._foreign(k, width, stride) for k in members), vocabulary, tables))
         self._bits()
 
     def _foreign(self, k: int, width: int, stride: int) -> int:
@@ -268,11 +272,10 @@ class Index:
         words, at = words_of(data, offsets)
         if not len(words) or not self.items:
             return {}
-        known = self.vocabulary[np.minimum(np.searchsorted(self.vocabulary, words), len(self.vocabulary) - 1)] == words
-        upto = np.r_[0, np.cumsum(known)]
         walk: dict[int, np.ndarray] = {}
         hits: list[np.ndarray] = []
-        for width, stride, foreign, tables in self.classes:
+        for width, stride, foreign, vocabulary, tables in self.classes:
+            upto = np.r_[0, np.cumsum(vocabulary.maybe(words))]
             starts, texts = common.window_texts(at, width)
             pick = ((starts - at[texts]) % stride == 0) & (upto[starts + width] - upto[starts] >= width - foreign)
             starts, texts = starts[pick], texts[pick]
@@ -297,6 +300,7 @@ class Index:
         # hits of one text and item whose runs overlap are one run
         slack, size = self.edits[k], self.sizes[k]
         a, b = np.maximum(at[text], begin - slack), np.minimum(at[text + 1], begin + size + slack)
+        upto = np.r_[0, np.cumsum(self.vocabulary.maybe(words))]
         pick = upto[b] - upto[a] >= size - slack
         text, k, a, b = text[pick], k[pick], a[pick], b[pick]
         if not len(text):

@@ -116,7 +116,7 @@ def test_hits_come_through_the_embedding(prose):
     whole = index.search(*blob(texts))
     assert len([1 for k in range(len(items)) if (k, k) in whole]) == len(items)
     classes = index.classes
-    index.classes = [(w, s, f, tables[:1]) for w, s, f, tables in classes]
+    index.classes = [(*own, tables[:1]) for *own, tables in classes]
     some = index.search(*blob(texts))
     assert set(some) < set(whole) and all(whole[p] == d for p, d in some.items())
     index.classes = []
