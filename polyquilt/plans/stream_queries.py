@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from polyquilt.operators import alike, units
 from polyquilt.operators.tables import new_path
+from polyquilt.sources.datasource import RecordFiles
 from polyquilt.streaming import online
 
 #: Forms that are remembered for a user, and parts in which the events arrive.
@@ -105,9 +106,28 @@ a0 AS MATERIALIZED (SELECT p.g, p.x, q.x AS y FROM l p JOIN l q ON p.g = q.g AND
 SELECT g AS l_orderkey, x AS l_linenumber, min(y) AS least, count(*) AS n FROM a8 GROUP BY g, x"""
 
 
+def record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as record files of both layouts and read back, long ones of each by a pushed filter."""
+    spark.dataSource.register(RecordFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "n_chars", "text")
+    out = None
+    for layout in ("text", "packed"):
+        path = f"{new_path(spark)}/{layout}"
+        docs.write.format("polyquilt_records").option("layout", layout).option("splitBytes", 4 << 20).mode("append").save(path)
+        back = spark.read.format("polyquilt_records").schema(docs.schema).option("layout", layout).option("splitBytes", 4 << 20).option("push", "true").load(path)
+        own = back.filter(F.col("n_chars") > 500).select(F.lit(layout).alias("layout"), "doc_id", "lang", "n_chars", F.sha2("text", 256).alias("digest"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+RECORDS = "SELECT unnest(['text', 'packed']) AS layout, doc_id, lang, n_chars, sha256(text) AS digest FROM documents WHERE n_chars > 500"
+
+
 STREAMS: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "stream_capped_dedup": (stream_capped_dedup, CAPPED),
     "stream_windows": (stream_windows, WINDOWS),
     "resumed_dedup": (resumed_dedup, RESUMED),
     "alike_lines": (alike_lines, ALIKE),
+    "record_files": (record_files, RECORDS),
 }
