@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from polyquilt.operators.tables import written
+
 
 def chunks_of(rows: DataFrame, key: str, width: int) -> DataFrame:
     """(chunk_id, first_entry, entry_count): rows cut into id ranges of ``width``."""
@@ -25,38 +27,41 @@ def mismatches(chunks: DataFrame, entries: DataFrame) -> DataFrame:
     return met.filter("found <> entry_count").select("chunk_id", "entry_count", "found")
 
 
-def uncovered(points: DataFrame, key: str, ranges: DataFrame, width: int) -> DataFrame:
-    """Points that no range (first_entry, entry_count) covers.
+def _met_so_far(points: DataFrame, marks: DataFrame) -> DataFrame:
+    """``points`` (at, ...) with ``most``: the greatest value of the ``marks`` (at, value) at or before each; null if none.
 
-    A range is cut at multiples of ``width``, so that points and pieces meet by an equi-join
-    on their bucket; ranges of any length are allowed.
+    Both are sorted together by ranges.  A range's maximum is carried to those behind it by
+    a window over one row for each range; within a range a window runs over its own rows.
     """
-    last = F.col("first_entry") + F.col("entry_count") - 1
-    pieces = ranges.filter("entry_count > 0").withColumn("bucket", F.explode(F.sequence(F.floor(F.col("first_entry") / width), F.floor(last / width))))
-    own = points.withColumn("bucket", F.floor(F.col(key) / width))
-    held = (F.col(key) >= F.col("first_entry")) & (F.col(key) < F.col("first_entry") + F.col("entry_count"))
-    return own.alias("p").join(pieces.alias("r"), (F.col("p.bucket") == F.col("r.bucket")) & held, "left_anti").drop("bucket")
+    from pyspark.sql import Window as W
 
+    kind = marks.schema["value"].dataType
+    both = marks.select("at", F.lit(0).alias("_point"), "value").unionByName(points.withColumns({"_point": F.lit(1), "value": F.lit(None).cast(kind)}), allowMissingColumns=True)
+    spread = both.repartitionByRange("at", "_point").sortWithinPartitions("at", "_point")
+    own = written(spread.withColumn("_place", F.monotonically_increasing_id())).withColumn("_part", F.shiftright("_place", 33))
+    inside = F.max("value").over(W.partitionBy("_part").orderBy("_place").rowsBetween(W.unboundedPreceding, 0))
+    tops = own.groupBy("_part").agg(F.max("value").alias("_top"))
+    before = tops.select("_part", F.max("_top").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)).alias("_before"))
+    out = own.withColumn("_inside", inside).filter("_point = 1").join(before, "_part")
+    return out.select(*points.columns, F.greatest("_inside", "_before").alias("most"))
 
-def floor_lookup(points: DataFrame, key: str, starts: DataFrame, start: str) -> DataFrame:
-    """The greatest start at or below each point (null if none).
 
-    Points and starts are cut into buckets; each bucket knows the greatest start before it,
-    so no task sorts the whole relation.
+def uncovered(points: DataFrame, key: str, ranges: DataFrame) -> DataFrame:
+    """Points that no range (first_entry, entry_count) covers; ranges of any length, overlapping ones too.
+
+    A point is covered if the furthest end of the ranges that begin at or before it lies
+    beyond it, so no range is cut into pieces.  A null point is covered by none.
     """
-    from pyspark.sql import Window as W
+    own = points.withColumn("at", F.col(key))
+    ends = ranges.filter("entry_count > 0").select(F.col("first_entry").alias("at"), (F.col("first_entry") + F.col("entry_count")).alias("value")).dropna()
+    return _met_so_far(own, ends).filter(F.col("at").isNull() | F.col("most").isNull() | (F.col("most") <= F.col("at"))).select(*points.columns)
+
 
-    width = 1 << 16
-    s = starts.select(F.col(start).alias("at")).distinct().withColumn("bucket", F.floor(F.col("at") / width))
-    tops = s.groupBy("bucket").agg(F.max("at").alias("top"))
-    p = points.withColumn("bucket", F.floor(F.col(key) / width))
-    every = tops.unionByName(p.select("bucket").distinct(), allowMissingColumns=True).groupBy("bucket").agg(F.max("top").alias("top"))
-    before = every.withColumn("before", F.last("top", ignorenulls=True).over(W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))).select("bucket", "before")
-    w = W.partitionBy("bucket").orderBy("at", "is_point").rowsBetween(W.unboundedPreceding, 0)
-    marked = s.select("bucket", "at", F.lit(0).alias("is_point"), F.col("at").alias("start"), F.lit(None).cast("long").alias("id"))
-    asked = p.select("bucket", F.col(key).alias("at"), F.lit(1).alias("is_point"), F.lit(None).cast("long").alias("start"), F.col(key).alias("id"))
-    found = marked.unionByName(asked).withColumn("floor", F.last("start", ignorenulls=True).over(w)).filter("is_point = 1")
-    return found.join(before, "bucket").select(F.col("id").alias(key), F.coalesce("floor", "before").alias("floor"))
+def floor_lookup(points: DataFrame, key: str, starts: DataFrame, start: str) -> DataFrame:
+    """The greatest start at or below each point (null if none, or for a null point)."""
+    own = points.select(F.col(key), F.col(key).alias("at"))
+    marks = starts.select(F.col(start).alias("at"), F.col(start).alias("value")).dropna()
+    return _met_so_far(own, marks).select(key, F.when(F.col(key).isNotNull(), F.col("most")).alias("floor"))
 
 
 def overlap(a: DataFrame, b: DataFrame, key: str) -> DataFrame:

@@ -18,6 +18,7 @@ from polyquilt.operators import canon, report, search
 from polyquilt.operators import reconcile as R
 from polyquilt.plans.graph_queries import GRAPH
 from polyquilt.plans.report_queries import REPORT
+from polyquilt.plans.state_queries import STATES
 from polyquilt.plans.stream_queries import STREAMS
 from polyquilt.sources import solutions, tilings
 
@@ -256,9 +257,9 @@ def _ranges(chunks: DataFrame) -> DataFrame:
 
 
 def range_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that no stored range covers, by an equi-join on range pieces."""
+    """Events that no stored range covers."""
     e, chunks = _chunks(spark, sf_dir)
-    return R.uncovered(e.select("event_id"), "event_id", _ranges(chunks), WIDTH)
+    return R.uncovered(e.select("event_id"), "event_id", _ranges(chunks))
 
 
 RANGE_ANTI = f"WITH {_CHUNKS}, r AS (SELECT first_entry + 5 AS first_entry, entry_count FROM ch WHERE chunk_id % 3 <> 1) SELECT event_id FROM events WHERE NOT EXISTS (SELECT 1 FROM r WHERE event_id >= first_entry AND event_id < first_entry + entry_count)"
@@ -581,4 +582,5 @@ ALL: dict[str, tuple[Query, str | None]] = {
     **REPORT,
     **GRAPH,
     **STREAMS,
+    **STATES,
 }

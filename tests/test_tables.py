@@ -191,3 +191,22 @@ def test_eta_classes(spark):
     rows = spark.createDataFrame([(0, 50.0, 0.0), (100, 10.0, 0.0), (7300, 20.0, -100.0), (7300, 20.0, -101.0), (5, 11.0, 5.0), (None, 50.0, 1.0)], "q long, r double, g double")
     got = [r[0] for r in rows.select(analytics.eta_class(F.col("q"), F.col("r"), F.col("g"), report.duration_text)).collect()]
     assert got == ["--", "..", ">6m5s", "1m0s", "><1s", None]
+
+
+def test_ranges_and_floors_of_any_length(spark):
+    """Against loops: long, nested, empty and touching ranges; points and starts that tie; nulls."""
+    import random
+
+    rnd = random.Random(11)
+    points = [rnd.randrange(-50, 2000) for _ in range(300)] + [None, 5, 5]
+    ranges = [(rnd.randrange(-60, 2000), rnd.choice([0, 1, 3, 40, 400])) for _ in range(25)] + [(None, 3), (3, None), (-10**12, 5)]
+    p = spark.createDataFrame([(x,) for x in points], "x long").repartition(5)
+    got = [r.x for r in reconcile.uncovered(p, "x", spark.createDataFrame(ranges, "first_entry long, entry_count long")).collect()]
+    covered = lambda x: x is not None and any(a is not None and n is not None and a <= x < a + n for a, n in ranges)
+    assert sorted(got, key=repr) == sorted((x for x in points if not covered(x)), key=repr) and len(got) < 280
+    starts = [rnd.randrange(0, 1900) for _ in range(40)] + [None, 5]
+    found = reconcile.floor_lookup(p, "x", spark.createDataFrame([(x,) for x in starts], "s long"), "s").collect()
+    want = [(x, max((s for s in starts if s is not None and x is not None and s <= x), default=None)) for x in points]
+    assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
+    none = spark.createDataFrame([], "first_entry long, entry_count long")
+    assert reconcile.uncovered(p, "x", none).count() == len(points)
