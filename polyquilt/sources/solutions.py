@@ -121,8 +121,22 @@ def read(spark: SparkSession, path: str, combo: str | None = None, buckets: tupl
 
 
 def to_text(rows: DataFrame) -> DataFrame:
-    """One text a result."""
-    return rows.select(F.concat_ws("\n", "vertices", "signature", "count_signature", "file_signature", "conway").alias("value"))
+    """One text a result of (types, glue, vertices, signature, count_signature, file_signature, conway), with its document's cycles and assembled Conway text.
+
+    A result whose polygons make no document is an error, as its text would lack them.
+    """
+    from polyquilt.functions.text import faces
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [faces(frame(tuple(t)), g) for t, g in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array([lines for _, _, lines in made], pa.list_(pa.string())), pa.array([x for _, x, _ in made], pa.string())], names=[*names, "cycles", "assembled"])
+
+    names = ["vertices", "signature", "count_signature", "file_signature", "conway"]
+    own = rows.select("types", "glue", *names).mapInArrow(run, ", ".join(f"{n} string" for n in names) + ", cycles array<string>, assembled string")
+    # fixed values: the order of the lines, and what stands before the count signature and after the cycles
+    lines = ("vertices", "signature", F.concat(F.lit("Count type: "), "count_signature"), F.concat(F.lit("eu "), "file_signature"), "conway")
+    return own.select(F.concat(F.concat_ws("\n", *lines, "cycles"), F.lit("\n---\n"), F.col("assembled"), F.lit("\n")).alias("value"))
 
 
 def wl_unique(rows: DataFrame, rounds: int = 100, trust_hash: bool = False) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from polyquilt.functions import codec, geometry, text
 from polyquilt.functions.states import frame, pack
 from polyquilt.operators import analytics, reconcile, report, search
-from polyquilt.sources import solutions, tilings
+from polyquilt.sources import lattices, solutions, tilings
 from polyquilt.streaming import convert
 
 
@@ -53,7 +53,13 @@ def test_text_files_round_trip(spark, results, tmp_path):
     assert read.filter("error IS NULL").count() == 30 and read.filter("error IS NOT NULL").count() == 1
     back = solutions.decode_text(read)
     assert back.filter("error IS NULL").count() == 30 and solutions.invalid(back.filter("error IS NULL")).count() == 0
-    assert solutions.to_text(solutions.with_texts(results)).count() == 30
+    texts = [r.value.split("\n") for r in solutions.to_text(solutions.with_texts(results)).collect()]
+    assert len(texts) == 30
+    for own in texts:
+        cut = own.index("---")
+        assert own[2].startswith("Count type: ") and own[3].startswith("eu ") and 0 < len(own[5:cut]) and own[cut + 2 :] == [""]
+        state = text.decode(own[0], own[4])
+        assert state and text.faces(frame(state[0]), state[1])[1:] == (own[cut + 1], own[5:cut])
 
 
 def test_binary_files(spark, results, tmp_path):
@@ -210,3 +216,39 @@ def test_ranges_and_floors_of_any_length(spark):
     assert sorted(map(tuple, found), key=repr) == sorted(want, key=repr)
     none = spark.createDataFrame([], "first_entry long, entry_count long")
     assert reconcile.uncovered(p, "x", none).count() == len(points)
+
+
+def test_lattice_store(spark, results, tmp_path):
+    """Import, lookups and export; failures are kept, mark the store and stop the export."""
+    own = tilings.documents(results).withColumn("id", F.monotonically_increasing_id()).select("id", "combo", "signature", "document")
+    made = tilings.convert(own, "f" * 64)
+    tilings.to_json(made).write.text(str(tmp_path / "json"))
+    target = str(tmp_path / "store")
+    assert lattices.import_json(spark, str(tmp_path / "json"), target) == 30 and lattices.is_complete(spark, target)
+    rows = lattices.records(spark, target).collect()
+    assert [r.entry_id for r in rows] == list(range(1, 31))
+    assert [(r.k, bytes(r.stable_id)) for r in rows] == sorted((r.k, bytes(r.stable_id)) for r in made.collect())
+    assert lattices.read_by_id(spark, target, 7).collect() == [rows[6]] and lattices.read_by_id(spark, target, 31).count() == 0
+    assert lattices.read_by_stable_id(spark, target, rows[3].stable_id.hex()).collect() == [rows[3]]
+    assert lattices.read_by_stable_id(spark, target, rows[3].stable_id.hex(), 9).count() == 0
+    assert [r.entry_id for r in lattices.records(spark, target, 5, 8).collect()] == [5, 6, 7, 8]
+    found = lattices.lookup(spark.createDataFrame([(2,), (99,)], "entry_id long"), target).collect()
+    assert {r.entry_id: r.k for r in found} == {2: rows[1].k, 99: None}
+    lattices.export_json(spark, target, str(tmp_path / "again"))
+    lines = lambda name: sorted(r.value for r in spark.read.text(str(tmp_path / name)).collect())
+    assert lattices.import_json(spark, str(tmp_path / "again"), str(tmp_path / "second")) == 30
+    lattices.export_json(spark, str(tmp_path / "second"), str(tmp_path / "third"))
+    assert lines("again") == lines("third")
+    with pytest.raises(Exception, match="(?i)exists"):
+        lattices.import_json(spark, str(tmp_path / "json"), target)
+
+    (tmp_path / "bad").mkdir()
+    good, key = json.loads(lines("again")[0]), "k01_" + "0" * 64
+    other = next(iter(good.values()))
+    (tmp_path / "bad" / "x.json").write_text(json.dumps(good | {key: other | {"T2": other["T1"]}, "_failures": {"lost": "why"}}))
+    with pytest.raises(lattices.IncompleteStore, match="2 records failed, 1 are stored"):
+        lattices.import_json(spark, str(tmp_path / "bad"), str(tmp_path / "partial"))
+    assert {r.name for r in lattices.failures(spark, str(tmp_path / "partial")).collect()} == {"lost", key}
+    assert lattices.records(spark, str(tmp_path / "partial")).count() == 1 and not lattices.is_complete(spark, str(tmp_path / "partial"))
+    with pytest.raises(lattices.IncompleteStore):
+        lattices.export_json(spark, str(tmp_path / "partial"), str(tmp_path / "never"))
