@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from polyquilt.functions import catalog, geometry, states, text
+from polyquilt.functions import catalog, codec, geometry, states, text
 from polyquilt.functions.states import frame
 from polyquilt.operators import canon, search
 
@@ -143,6 +143,46 @@ f AS (SELECT op.o, count(*) OVER (PARTITION BY op.o) AS n_open, slack, CASE WHEN
 SELECT y.o AS l_orderkey, valid, CASE WHEN valid THEN coalesce(n_open, 0) END::INTEGER AS n_open, CASE WHEN valid THEN slack END::INTEGER AS slack, CASE WHEN valid THEN dart END::INTEGER AS dart FROM y LEFT JOIN f ON f.o = y.o AND place = 1"""
 
 
+def state_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each order whose state is closed and valid the document, read back by both parsers, and the lines of its polygons."""
+
+    def one(o: int, types: list[int], glue: list[int]) -> tuple:
+        f = frame(tuple(types))
+        if -1 in glue or search.open_rings(f, glue) is None:
+            return o, None, None
+        tiling, pairs, lines = text.faces(f, glue)
+        document = text.render_document(tiling, pairs, text.signature(tuple(types)))
+        loose = text.parse_document_leniently(document)
+        if text.parse_document(document) != tiling or (loose["sides"], loose["repeats"], "".join(loose["pairs"])) != (tiling.sides, tiling.repeats, pairs):
+            raise ValueError("a document that is read as another")
+        return o, document, "\n".join(lines)
+
+    return _over(_states(spark, sf_dir), "l_orderkey bigint, document string, cycles string", one).filter("document IS NOT NULL")
+
+
+STATE_DOCUMENTS = f"""WITH RECURSIVE {_DARTS},
+e AS MATERIALIZED (SELECT a.o, a.i, a.r, a.m, a.size, a.label || CASE WHEN a.tile <= 3 THEN repeat('''', a.tile::BIGINT) ELSE '@' || a.tile END AS name, b.size AS rsize, b.m AS rm, b.g AS next, a.g
+  FROM d a JOIN d b ON b.o = a.o AND b.i = a.r WHERE a.o NOT IN (SELECT o FROM d WHERE g = -1)),
+c AS (SELECT o, i AS b, i AS here, 0 AS n, next, rsize AS wanted, true AS ok FROM e UNION ALL SELECT c.o, b, e.i, n + 1, e.next, wanted, ok AND rsize = wanted FROM c JOIN e ON e.o = c.o AND e.i = c.next WHERE c.next <> b),
+z AS (SELECT o FROM (SELECT o, b, bool_and(ok) AS ok, count(*) AS n, any_value(wanted) AS wanted FROM c GROUP BY o, b) GROUP BY o HAVING bool_and(ok AND wanted % n = 0)),
+q AS MATERIALIZED (SELECT o, b AS i, min(here) AS a, count(*) AS n FROM c WHERE o IN (FROM z) GROUP BY o, b),
+h AS (SELECT q.o, q.a, q.n, e.rsize AS size, p.a AS img FROM q JOIN e ON e.o = q.o AND e.i = q.i JOIN q p ON p.o = q.o AND p.i = e.rm WHERE q.a = q.i),
+k AS (SELECT *, bool_and(a <> img) OVER (PARTITION BY o) AS chiral, row_number() OVER (PARTITION BY o ORDER BY least(a, img), a) - 1 AS place FROM h),
+t1 AS (SELECT *, CASE WHEN a < img THEN place ELSE place - 1 END AS first FROM k),
+hd AS (SELECT *, CASE WHEN a = img THEN place || ': ' WHEN chiral THEN first // 2 || ': ' ELSE first || '/' || (first + 1) || ': ' END AS title FROM t1),
+bd AS (SELECT c.o, c.b AS a, string_agg(x.name || '/' || y.name || '(' || x.rsize || ')', '-' ORDER BY c.n) AS body FROM c JOIN e x ON x.o = c.o AND x.i = c.here JOIN e y ON y.o = c.o AND y.i = x.r GROUP BY c.o, c.b),
+ln AS (SELECT hd.o, string_agg(CASE WHEN a <= img THEN title ELSE repeat(' ', length(title)) END || CASE WHEN size = hd.n THEN body ELSE '[' || body || ']x' || size // hd.n END, chr(10) ORDER BY place) AS cycles FROM hd JOIN bd USING (o, a) GROUP BY hd.o),
+kp AS MATERIALIZED (SELECT o, a, n, size, row_number() OVER (PARTITION BY o ORDER BY place) - 1 AS tile FROM hd WHERE NOT chiral OR a < img),
+ed AS MATERIALIZED (SELECT kp.o, row_number() OVER (PARTITION BY kp.o ORDER BY tile, c.n) AS at, c.here AS finish, x.r AS begin, y.m AS mirrored, c.n || CASE WHEN tile <= 3 THEN repeat('''', tile::BIGINT) ELSE '@' || tile END AS own
+  FROM kp JOIN c ON c.o = kp.o AND c.b = kp.a JOIN c w ON w.o = kp.o AND w.b = kp.a AND w.n = (c.n + kp.n - 1) % kp.n JOIN e x ON x.o = kp.o AND x.i = w.here JOIN e y ON y.o = kp.o AND y.i = x.r),
+pr AS (SELECT u.o, u.at AS a, coalesce(v.at, m.at) AS b, u.own AS x, coalesce(v.own, m.own) AS y, v.at IS NULL AS square FROM ed u LEFT JOIN ed v ON v.o = u.o AND v.finish = u.begin LEFT JOIN ed m ON m.o = u.o AND m.begin = u.mirrored),
+cw AS (SELECT o, string_agg(CASE WHEN square THEN '[' ELSE '(' END || x || CASE WHEN a = b THEN '' ELSE ' ' || y END || CASE WHEN square THEN ']' ELSE ')' END, '' ORDER BY a) AS pairs FROM pr WHERE a <= b GROUP BY o),
+ut AS (SELECT o, string_agg('unittile(' || array_to_string([180 - 360 // size for j in range(0, size)], ',') || ')', chr(10) ORDER BY tile) AS tiles, string_agg(CASE WHEN size > n THEN 'repeat(' || tile || ',' || size // n || ')' || chr(10) ELSE '' END, '' ORDER BY tile) AS repeats FROM kp GROUP BY o),
+sg AS (SELECT o, string_agg(symbol || CASE WHEN n > 1 THEN 'x' || n ELSE '' END, ', ' ORDER BY type) AS signature FROM (SELECT o, type, symbol, count(*) AS n FROM pl GROUP BY ALL) GROUP BY o)
+SELECT cw.o AS l_orderkey, '## Euclidean, ' || signature || chr(10) || 'e2.' || chr(10) || 'angleunit(deg)' || chr(10) || tiles || chr(10) || 'conway("' || pairs || '")' || chr(10) || repeats AS document, cycles
+FROM cw JOIN ut USING (o) JOIN sg USING (o) JOIN ln USING (o)"""
+
+
 def state_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of free darts of each order's state that may be glued, darts with one such partner, and slots that new vertices offer to its free darts."""
 
@@ -200,6 +240,38 @@ f AS (SELECT o, min(o) OVER (PARTITION BY a, b) AS first FROM k)
 SELECT o AS l_orderkey, first AS first_wl, first AS first_wl2, first AS first_word, first AS first_id FROM f"""
 
 
+def hash_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hash steps of order and customer keys, and the id of an order as an entry of its customer's source, in hex."""
+
+    def one(o: int, c: int) -> tuple:
+        digest = codec.document_id(f"{c:016x}", o)
+        shown = digest.hex()
+        if codec.parse_hex_id(shown) != digest:
+            raise ValueError("an id that is read as another")
+        return o, str(canon.fnv64(o, c)), str(canon.mix64(o * 0x9E3779B97F4A7C15 & canon.WORD64)), shown
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    return _over(orders, "o_orderkey bigint, step string, mixed string, source_id string", one)
+
+
+_WORD = "18446744073709551616::UHUGEINT"
+_SHOWN = "array_to_string([printf('%02x', (v // (256::UHUGEINT ** j)::UHUGEINT % 256::UHUGEINT)::BIGINT) for j in range(0, 8)], '')"
+
+
+def _mixed(x: str) -> str:
+    """The 64-bit finaliser in steps, each a subquery."""
+    x = f"SELECT xor({x}, {x} // 1073741824::UHUGEINT) * {0xBF58476D1CE4E5B9}::UHUGEINT % {_WORD} AS a"
+    x = f"SELECT xor(a, a // 134217728::UHUGEINT) * {0x94D049BB133111EB}::UHUGEINT % {_WORD} AS b FROM ({x})"
+    return f"(SELECT xor(b, b // 2147483648::UHUGEINT)::VARCHAR FROM ({x}))"
+
+
+_LANES = ", ".join(f"list_reduce(list_prepend({seed}::UHUGEINT, x), lambda h, b: xor(h, b + {0x9D * k}::UHUGEINT) * {codec.PRIME}::UHUGEINT % {_WORD}) AS l{k}" for k, seed in enumerate(codec.LANES))
+HASH_IDS = f"""WITH o AS (SELECT o_orderkey, o_custkey, 'tes-source-v1:' || printf('%016x', o_custkey) || ':' || o_orderkey AS t, o_orderkey::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT % {_WORD} AS m FROM orders),
+b AS (SELECT *, list_transform(range(1, strlen(t) + 1), lambda i: ascii(substr(t, i, 1))::UHUGEINT) AS x FROM o),
+l AS (SELECT *, {_LANES} FROM b)
+SELECT o_orderkey, (xor(o_orderkey::UHUGEINT, o_custkey::UHUGEINT) * 1099511628211::UHUGEINT % {_WORD})::VARCHAR AS step, {_mixed("m")} AS mixed, {" || ".join(_SHOWN.replace("(v //", f"(l{k} //") for k in range(4))} AS source_id FROM l"""
+
+
 # --- exact geometry ---
 
 
@@ -272,7 +344,9 @@ SELECT n, {_line("a")} AS a, {_line("b")} AS b, {_line("p")} AS p, {_line("[a[k]
 STATES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "state_texts": (state_texts, STATE_TEXTS),
     "state_rings": (state_rings, STATE_RINGS),
+    "state_documents": (state_documents, STATE_DOCUMENTS),
     "state_seams": (state_seams, STATE_SEAMS),
     "state_classes": (state_classes, STATE_CLASSES),
+    "hash_ids": (hash_ids, HASH_IDS),
     "exact_geometry": (exact_geometry, GEOMETRY),
 }
