@@ -14,7 +14,8 @@
    not the article (navigation, footers, forms, adverts, comments, ...), and gives the
    text of what is left: inside ``article`` or ``main`` if the page has one, else of
    its body.  A style that holds the page's article, or most of the article's text, is
-   never low.
+   never low.  Names count for elements that can hold a part (a ``div``, not a paragraph), if
+   all their words are such names or fill; an article's own ``header`` is its headline.
 
 Copies are merged map-side first, so a host whose pages are mostly copies sends one row
 an article and block.  The table of low styles is broadcast
@@ -22,7 +23,8 @@ only if its measured size is under ``BROADCAST_BYTES``; else pages meet it by ho
 
 null and empty html give an empty text; null URLs form one site; broken markup is read
 as browsers do in the main (unclosed paragraphs and list items end at the next block);
-rows that repeat are each extracted; columns besides key, url and html are ignored.
+rows that repeat are each extracted, ties alike; a very long page is parsed whole, however
+deep; an empty table gives no rows; columns besides key, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -56,7 +58,10 @@ _NAMES = frozenset(
     "related recommended respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar widget warning".split()
 )
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
-_HOLDERS = frozenset("with has no without main page wrapper layout container site".split())
+#: Words that may stand beside these in a name; with any other word a name is one of its own ("related-work").
+_FILL = frozenset("area bar block bottom box button buttons group item items left link links list module panel post posts right row section slot story stories tools top zone".split())
+#: Elements that can hold such a part; a paragraph or heading is text, whatever its name.
+_PARTS = frozenset("aside center dd details div dl fieldset figure iframe ins ol section table td ul".split())
 _WORDS = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -70,9 +75,9 @@ class Node:
 
 
 def _named(token: str) -> bool:
-    """Whether a class or id names a part around the article; "content-with-sidebar" holds more than it names."""
-    own = _WORDS.findall(token)
-    return not _NAMES.isdisjoint(own) and _HOLDERS.isdisjoint(own)
+    """Whether a class or id names a part around the article, and nothing else."""
+    own = set(_WORDS.findall(token))
+    return not own.isdisjoint(_NAMES) and own <= _NAMES | _FILL
 
 
 def _label(tag: str, attributes: str) -> tuple[str, bool]:
@@ -86,10 +91,17 @@ def _label(tag: str, attributes: str) -> tuple[str, bool]:
             drop |= value in _ROLES
         else:
             words += _WORDS.findall(value)
-            drop |= tag not in ("body", "html", "main") and any(map(_named, value.split()))
+            drop |= tag in _PARTS and any(map(_named, value.split()))
     return f"{tag}.{'.'.join(words)}" if words else tag, drop
 
 
+def _in_article(node: Node) -> bool:
+    """Whether the node is in an article, whose header is its headline."""
+    while node is not None and node.tag not in ("article", "main"):
+        node = node.parent
+    return node is not None
+
+
 def parse(html: str) -> Node:
     """A tree of elements; text is kept as it stands."""
     root = at = Node("", "", None, False)
@@ -124,7 +136,7 @@ def parse(html: str) -> Node:
                     at = seek.parent
                 seek = seek.parent
         label, low = _label(tag, m[3])
-        node = Node(tag, f"{at.style}/{label}", at, low)
+        node = Node(tag, f"{at.style}/{label}", at, low and not (tag == "header" and _in_article(at)))
         at.children.append(node)
         if tag in _RAW:
             lower = lower if lower is not None else html.lower()

@@ -93,3 +93,20 @@ def test_deep_markup_keeps_blocks_and_styles():
     deep = "/div" * 1500
     assert html.main_text(root, frozenset([f"{deep}/section"])) == "a\nb c"
     assert {f"{deep}/p", f"{deep}/section"} <= set(html.styles(root))
+
+
+def test_names_of_content_are_kept():
+    """A word in a name is no reason to drop a paragraph, a heading, an article's header, or a part that is named by more."""
+    kept = [
+        '<p class="warning">Never mix acids.</p>', '<div class="related-work">Others did so too.</div>', '<h2 id="comments-on-plato">Comments on Plato</h2>', "<header><h1>The headline</h1></header>",
+        '<div class="notice-of-death">He died in May.</div>', '<p class="ad-hoc">An ad hoc rule.</p>', '<p class="share-price">It fell by half.</p>', '<section id="social-history">Guilds and towns.</section>',
+    ]
+    gone = [
+        '<div class="ad">Buy now</div>', '<div class="comments">First!</div>', '<div id="comment-list">Nice.</div>', '<ul class="social-share-buttons"><li>Tweet</li></ul>', '<div class="related-posts">More</div>',
+        '<section class="newsletter signup-box">Sign up</section>', "<nav>Home</nav>", "<aside>Also</aside>", "<form>Search</form>", "<footer>Imprint</footer>", '<div class="cookie-notice">We use cookies</div>',
+    ]
+    page = "<body><header>Site</header><article>" + "".join(x + y for x, y in zip(kept + ["<p>End.</p>"] * 3, gone)) + "</article><footer>Foot</footer></body>"
+    text = html.main_text(html.parse(page))
+    assert text.split("\n") == ["Never mix acids.", "Others did so too.", "Comments on Plato", "The headline", "He died in May.", "An ad hoc rule.", "It fell by half.", "Guilds and towns.", "End.", "End.", "End."]
+    only = html.main_text(html.parse('<article><div class="notice-of-death">A</div><p class="ad-hoc">B</p><p class="share-price">C</p></article>'))
+    assert only == "A\nB\nC"
