@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; the driver writes it as
 Parquet and rereads it as the next one's docs.  All but the last return the columns of
 ``documents``.  SQL cannot express the stages (see the tests for brute-force versions).
+
+null, empty and short texts fail the quality rules and go there; very long texts take the
+same path as others, whole.  Rows that repeat, and rows of one id, are judged alike and share
+their document's fate; a row with a null id is no one's copy and keeps its lines, but may be
+rejected or contaminated like others.  An empty table passes through empty, and columns
+besides the id and the text, whatever their names, stay with their rows to the last stage.
 """
 
 from __future__ import annotations

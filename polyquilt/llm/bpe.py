@@ -3,11 +3,12 @@
 The vocabulary is a ``tokenizers`` JSON file whose path is a parameter.  Both
 operators split a text at ASCII white space, which the file's normaliser and
 pre-tokeniser can never merge across, and tokenise each distinct chunk once per
-worker; a chunk memo with a bounded number of entries holds the results, so a
+worker; a chunk memo bounded in entries and bytes holds the results, so a
 text costs little more than one look-up per chunk.
 
 * null and empty texts have no tokens; very long texts and chunks take the same
-  path; repeated rows give repeated results; extra columns are ignored.
+  path; repeated rows and ids that tie give a result each; an empty table gives no
+  rows; extra columns are ignored.
 * special strings inside texts are taken as the library takes them by default.
 """
 

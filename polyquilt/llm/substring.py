@@ -16,7 +16,8 @@ maximal removal intervals.  Windows are judged on the input.
 Fingerprints have 64 bits: with n distinct windows some two collide with a chance of
 about n * n / 3.7e19 (0.05 % at 1.4e8 windows).
 
-null texts and texts under 13 words keep all words; a null id counts as larger than all
+A text of any length is a block of its own where it is long, and is read whole; an empty
+table gives no rows; null texts and texts under 13 words keep all words; a null id counts as larger than all
 others (such a row gives way and removes nothing); rows of one id never remove each
 other's windows; columns besides key and text are ignored.
 """

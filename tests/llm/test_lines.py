@@ -86,3 +86,18 @@ def test_lines_count_to_their_last_character(spark, prose):
     got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == want
     assert got[1] == rows[0][1] and got[2] == base[::-1] + "\nShort"
+
+
+def test_finer_buckets_and_what_lies_beyond(spark, prose, monkeypatch):
+    """With blocks of a few members a family of lines with one head goes through both finer levels and on, and gives what brute force gives."""
+    monkeypatch.setattr(lines, "BLOCK", 3)
+    monkeypatch.setattr(lines, "LAST_BLOCK", 4)
+    head = prose(30, 1)
+    rows = []
+    for k in range(14):  # pairs that are linked, far enough from other pairs
+        tail = prose(14, 300 + k)
+        rows += [(2 * k, f"{head} {tail}"), (2 * k + 1, f"{head} {tail} x{k}")]
+    want = whole(rows)
+    got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+    assert 0 < sum(t == "" for t in want.values()) < len(rows)

@@ -60,3 +60,29 @@ def test_decontamination_against_exact_edit_distance(spark, prose, tmp_path):
     assert got == want
     kept = {r["doc_id"] for r in corpus_pipeline.decontamination(spark, table, str(tmp_path)).collect()}
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
+
+
+def test_hard_rows(spark, hard_docs, no_docs):
+    """Nulls, empty and long texts, repeated rows and ids, clashing columns: every stage keeps the columns and its rules hold; an empty table stays empty."""
+    docs = hard_docs.selectExpr("*", "'s' AS source", "length(text) AS n_chars", "'x' AS line", "1 AS bands", "'y' AS ids", "0 AS component")
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+        kept[name] = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=repr)
+    # null, empty, short and upper-case texts fail a rule; copies of a row are judged alike
+    assert {i for i, _ in kept["quality_rules"]} == {1, 2, 3, 4, 8, 9, None}
+    assert [i for i, _ in kept["quality_rules"]].count(4) == 2
+    texts = dict(kept["line_dedup"])
+    # the first of equal or near lines stays, in the document of the least id; a row without an id keeps its lines
+    assert texts[2] == texts[3] == "" and texts[1] and texts[None] == texts[1]
+    assert {i for i, _ in kept["near_dedup"]} >= {1, 4, 8, 9, None}
+    assert set(kept["decontamination"]) <= set(kept["near_dedup"])
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert sorted((r["doc_id"], r["decoded"], r["n_tokens"]) for r in last if r["doc_id"] is not None) == sorted((i, expect(t)[1], len(expect(t)[0])) for i, t in kept["decontamination"] if i is not None)
+    empty = no_docs.selectExpr("*", "'s' AS source", "n AS n_chars")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty, SF)
+        assert out.count() == 0 and (name == "bpe_ids" or out.columns == empty.columns)
