@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from polyquilt.functions import catalog, codec, geometry, states, text
 from polyquilt.functions.states import frame
-from polyquilt.operators import canon, search
+from polyquilt.operators import canon, darts, search
 
 #: Types that vertices have: a dozen, so that equal ones meet in an order.
 SPREAD = 12
@@ -173,7 +173,7 @@ hd AS (SELECT *, CASE WHEN a = img THEN place || ': ' WHEN chiral THEN first //
 bd AS (SELECT c.o, c.b AS a, string_agg(x.name || '/' || y.name || '(' || x.rsize || ')', '-' ORDER BY c.n) AS body FROM c JOIN e x ON x.o = c.o AND x.i = c.here JOIN e y ON y.o = c.o AND y.i = x.r GROUP BY c.o, c.b),
 ln AS (SELECT hd.o, string_agg(CASE WHEN a <= img THEN title ELSE repeat(' ', length(title)) END || CASE WHEN size = hd.n THEN body ELSE '[' || body || ']x' || size // hd.n END, chr(10) ORDER BY place) AS cycles FROM hd JOIN bd USING (o, a) GROUP BY hd.o),
 kp AS MATERIALIZED (SELECT o, a, n, size, row_number() OVER (PARTITION BY o ORDER BY place) - 1 AS tile FROM hd WHERE NOT chiral OR a < img),
-ed AS MATERIALIZED (SELECT kp.o, row_number() OVER (PARTITION BY kp.o ORDER BY tile, c.n) AS at, c.here AS finish, x.r AS begin, y.m AS mirrored, c.n || CASE WHEN tile <= 3 THEN repeat('''', tile::BIGINT) ELSE '@' || tile END AS own
+ed AS MATERIALIZED (SELECT kp.o, row_number() OVER (PARTITION BY kp.o ORDER BY tile, c.n) AS at, c.here AS finish, x.r AS begin, y.m AS mirrored, c.n || CASE WHEN tile <= 3 THEN repeat('''', tile::BIGINT) ELSE '@' || tile END AS own, tile, c.n AS e, kp.n AS len, kp.size
   FROM kp JOIN c ON c.o = kp.o AND c.b = kp.a JOIN c w ON w.o = kp.o AND w.b = kp.a AND w.n = (c.n + kp.n - 1) % kp.n JOIN e x ON x.o = kp.o AND x.i = w.here JOIN e y ON y.o = kp.o AND y.i = x.r),
 pr AS (SELECT u.o, u.at AS a, coalesce(v.at, m.at) AS b, u.own AS x, coalesce(v.own, m.own) AS y, v.at IS NULL AS square FROM ed u LEFT JOIN ed v ON v.o = u.o AND v.finish = u.begin LEFT JOIN ed m ON m.o = u.o AND m.begin = u.mirrored),
 cw AS (SELECT o, string_agg(CASE WHEN square THEN '[' ELSE '(' END || x || CASE WHEN a = b THEN '' ELSE ' ' || y END || CASE WHEN square THEN ']' ELSE ')' END, '' ORDER BY a) AS pairs FROM pr WHERE a <= b GROUP BY o),
@@ -183,6 +183,17 @@ SELECT cw.o AS l_orderkey, '## Euclidean, ' || signature || chr(10) || 'e2.' ||
 FROM cw JOIN ut USING (o) JOIN sg USING (o) JOIN ln USING (o)"""
 
 
+def document_darts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The darts that those documents describe, with their partners and right neighbours."""
+    return darts.darts(state_documents(spark, sf_dir), "l_orderkey")
+
+
+DOCUMENT_DARTS = STATE_DOCUMENTS[: STATE_DOCUMENTS.index("pr AS (")] + """g AS (SELECT u.o, u.tile, u.e, u.len, u.size, side, coalesce(v.tile, m.tile) AS gt, coalesce(v.e, m.e) AS ge, CASE WHEN v.at IS NULL THEN -side ELSE side END AS gs
+  FROM ed u LEFT JOIN ed v ON v.o = u.o AND v.finish = u.begin LEFT JOIN ed m ON m.o = u.o AND m.begin = u.mirrored, (VALUES (1), (-1)) s(side))
+SELECT g.o AS l_orderkey, g.tile::INTEGER AS tile, g.e::INTEGER AS edge, g.side, g.size::INTEGER AS size, g.gt::INTEGER AS glue_tile, g.ge::INTEGER AS glue_edge, g.gs AS glue_side, r.gt::INTEGER AS right_tile, r.ge::INTEGER AS right_edge, r.gs AS right_side
+FROM g JOIN g r ON r.o = g.o AND r.tile = g.tile AND r.side = g.side AND r.e = (g.e - g.side + g.len) % g.len"""
+
+
 def state_seams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of free darts of each order's state that may be glued, darts with one such partner, and slots that new vertices offer to its free darts."""
 
@@ -345,6 +356,7 @@ STATES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] =
     "state_texts": (state_texts, STATE_TEXTS),
     "state_rings": (state_rings, STATE_RINGS),
     "state_documents": (state_documents, STATE_DOCUMENTS),
+    "document_darts": (document_darts, DOCUMENT_DARTS),
     "state_seams": (state_seams, STATE_SEAMS),
     "state_classes": (state_classes, STATE_CLASSES),
     "hash_ids": (hash_ids, HASH_IDS),
