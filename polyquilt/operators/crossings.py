@@ -5,7 +5,7 @@ Segments are rows (by, id, x1, y1, x2, y2) with whole coordinates within +-2**28
 decided exactly by the signs of integer determinants; touching, overlapping and equal
 segments do not cross.  A segment is laid into the cells that it runs through, so a long one
 costs its length and not its box.  A pair counts in one cell only, that of the crossing
-point, found by exact division; so no pair is made distinct later.
+point, found by division (exactly where it is near an edge); so no pair is made distinct later.
 """
 
 from __future__ import annotations
@@ -55,15 +55,23 @@ def crossing_pairs(segments: DataFrame, size: int) -> DataFrame:
     t4 = turn(x["q_x1"], x["q_y1"], x["q_x2"], x["q_y2"], x["p_x2"], x["p_y2"])
     sign = lambda t: F.signum(t.cast("double"))
     met = met.filter((sign(t1) * sign(t2) < 0) & (sign(t3) * sign(t4) < 0))
-    # the crossing point is p1 + (p2 - p1) * t3 / (t3 - t4); both differ in sign, so the divisor is not 0
+    # the crossing point is p1 + (p2 - p1) * t3 / (t3 - t4), whose parts differ in sign; what follows reads both turns as columns
+    met = met.select("by", "cx", "cy", "p_id", "q_id", "p_x1", "p_y1", "p_x2", "p_y2", F.abs(t3).alias("n"), F.abs(t4).alias("m"))
+    met = met.withColumn("_", F.monotonically_increasing_id()).filter("_ >= 0")  # keeps the filter below from being moved into the join, where both would be computed many times
+    share = F.col("n").cast("double") / (F.col("n") + F.col("m")).cast("double")
     wide = lambda t: t.cast("decimal(38,0)")
-    n, d = wide(F.abs(t3)), wide(F.abs(t3)) + wide(F.abs(t4))
-    place = lambda a, b: _floor((wide(x[a]) * d + (wide(x[b]) - wide(x[a])) * n).cast("decimal(38,0)"), (d * size).cast("decimal(38,0)"))
-    here = (place("p_x1", "p_x2") == F.col("cx")) & (place("p_y1", "p_y2") == F.col("cy"))
-    return met.filter(here).select("by", F.col("p_id").alias("a"), F.col("q_id").alias("b"))
+
+    def place(a: str, b: str) -> Column:
+        # floating point tells the cell but within a millionth of its edge
+        about = (x[a] + (x[b] - x[a]) * share) / size
+        d = wide(F.col("n")) + wide(F.col("m"))
+        exact = _floor((wide(x[a]) * d + (wide(x[b]) - wide(x[a])) * wide(F.col("n"))).cast("decimal(38,0)"), (d * size).cast("decimal(38,0)"))
+        return F.when(F.abs(about - F.rint(about)) < 1e-6, exact).otherwise(F.floor(about).cast("long"))
+
+    return met.filter((place("p_x1", "p_x2") == F.col("cx")) & (place("p_y1", "p_y2") == F.col("cy"))).select("by", F.col("p_id").alias("a"), F.col("q_id").alias("b"))
 
 
 def cell_size(segments: DataFrame) -> int:
     """A width near the segments' mean extent: one aggregation, one number."""
     span = F.avg(F.abs(F.col("x2") - F.col("x1")) + F.abs(F.col("y2") - F.col("y1")))
-    return max(1, int(segments.agg(span).first()[0] or 1) // 2)
+    return max(1, int(segments.agg(span).first()[0] or 1))
