@@ -44,7 +44,7 @@ class Frame:
         return len(self.size)
 
 
-@lru_cache(maxsize=20_000)
+@lru_cache(maxsize=2_000)
 def frame(types: tuple[int, ...]) -> Frame:
     return Frame(types)
 
