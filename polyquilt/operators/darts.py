@@ -16,33 +16,30 @@ from pyspark.sql import functions as F
 
 from polyquilt.functions.text import parse_document
 
-EDGES = "tile int, edge int, edges int, size int, to_tile int, to_edge int, mirrored boolean"
+DARTS = "tile int, edge int, side int, size int, glue_tile int, glue_edge int, glue_side int, right_tile int, right_edge int, right_side int"
 
 
-def edges(documents: DataFrame, key: str = "id", document: str = "document") -> DataFrame:
-    """(key, tile, edge, edges, size, to_tile, to_edge, mirrored): each pattern edge with the one that it meets; null documents have none, wrong ones are errors."""
+def darts(documents: DataFrame, key: str = "id", document: str = "document") -> DataFrame:
+    """(key, tile, edge, side, size, glue_*, right_*): each dart with its partner and its right neighbour, as (tile, edge, side) each.
+
+    Null documents have none, wrong ones are errors.  A dart's neighbours stand in its own document, so each is read once and no rows meet.
+    """
     kind = documents.schema[key].dataType.simpleString()
+    names = ["key", *(c.split()[0] for c in DARTS.split(", "))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, rows = [], []
             for own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 t = parse_document(text)
-                for tile, row in enumerate(t.meets):
-                    for edge, (to_tile, to_edge, mirrored) in enumerate(row):
-                        keys.append(own)
-                        rows.append((tile, edge, len(row), t.sides[tile], to_tile, to_edge, mirrored))
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *(pa.array(c, pa.int32()) for c in columns[:6]), pa.array(columns[6], pa.bool_())], names=["key", "tile", "edge", "edges", "size", "to_tile", "to_edge", "mirrored"])
+                for tile, meets in enumerate(t.meets):
+                    for edge in range(len(meets)):
+                        for side in (1, -1):
+                            near = [(*at, -side if mirrored else side) for *at, mirrored in (meets[edge], meets[(edge - side) % len(meets)])]
+                            rows.append((tile, edge, side, t.sides[tile], *near[0], *near[1]))
+                keys += [own] * (len(rows) - len(keys))
+            columns = list(zip(*rows)) or [()] * (len(names) - 1)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), *(pa.array(c, pa.int32()) for c in columns)], names=names)
 
     own = documents.select(F.col(key).alias("key"), F.col(document).alias("document")).filter("document IS NOT NULL")
-    return own.mapInArrow(run, f"key {kind}, {EDGES}").withColumnRenamed("key", key)
-
-
-def darts(documents: DataFrame, key: str = "id", document: str = "document") -> DataFrame:
-    """(key, tile, edge, side, size, glue_*, right_*): each dart with its partner and its right neighbour, as (tile, edge, side) each."""
-    own = edges(documents, key, document).withColumn("side", F.explode(F.array(F.lit(1), F.lit(-1))))
-    own = own.withColumn("to_side", F.when(F.col("mirrored"), -F.col("side")).otherwise(F.col("side")))
-    partners = own.select(key, "tile", F.col("edge").alias("_before"), "side", F.col("to_tile").alias("right_tile"), F.col("to_edge").alias("right_edge"), F.col("to_side").alias("right_side"))
-    met = own.withColumn("_before", F.pmod(F.col("edge") - F.col("side"), F.col("edges"))).join(partners, [key, "tile", "_before", "side"])
-    return met.select(key, "tile", "edge", "side", "size", F.col("to_tile").alias("glue_tile"), F.col("to_edge").alias("glue_edge"), F.col("to_side").alias("glue_side"), "right_tile", "right_edge", "right_side")
+    return own.mapInArrow(run, f"key {kind}, {DARTS}").withColumnRenamed("key", key)
