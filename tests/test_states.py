@@ -38,3 +38,29 @@ def test_darts_meet_no_rows(spark):
     rows = {(r["edge"], r["side"]): tuple(r)[5:] for r in got.collect()}
     assert len(rows) == 8
     assert rows[0, 1] == (0, 2, 1, 0, 1, 1) and rows[0, -1] == (0, 2, -1, 0, 3, -1)
+
+
+def test_floor_of_exact_quotients(spark):
+    """As the plain function has it, whole quotients and close ones too; null by 0."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from polyquilt.functions import geometry
+
+    rnd = random.Random(5)
+    rows = [tuple(rnd.randint(-60, 60) for _ in range(4)) for _ in range(300)]
+    rows += [(k * a, k * b, a, b) for k in range(-3, 4) for a, b in ((7, -4), (26, -15), (97, -56), (0, 1), (-5, 0))] + [(97, -56, 1, 0), (-97, 56, 1, 0), (3, 2, 0, 0)]
+    c = [F.col(x) for x in ("n0", "n1", "d0", "d1")]
+    got = state_queries.with_floor_ratio(spark.createDataFrame(rows, "n0 long, n1 long, d0 long, d1 long"), "q", (c[0], c[1]), (c[2], c[3])).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        d = (r["d0"], r["d1"])
+        assert r["q"] == (None if d == (0, 0) else geometry.floor_ratio((r["n0"], r["n1"]), d)), r
+
+
+def test_geometry_of_triples_is_an_expression(spark):
+    """Python sees pairs of vectors and points, not lines: its input has no more rows than their digits allow."""
+    plan = state_queries.exact_geometry(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = [plan[k + 1] for k, line in enumerate(plan) if "MapInArrow" in line]
+    assert len(below) == 2 and all("Aggregate" in line and "_l_" in line for line in below)
