@@ -16,12 +16,13 @@ documents are linked if 100 * intersection >= 75 * union.
    components by the same test, carried on to ``MOST`` minima; each pair counts in the
    first such bucket that it shares, and survivors are confirmed as above.  The members of
    larger ones are dealt to finer buckets, of more rows a band and more bands (``FINER``),
-   and steps 2 and 3 follow for these; after the finest, buckets stay as they are and lose
-   their centres only, until all members are linked or compared.
+   whose stars link most of what belongs together (steps 2 and 3).
+5. Members of larger buckets that are still in several components are then joined on all
+   their shingles by prefixes, which misses nothing: two sets that are similar enough share
+   one of the rarest shingles of each, so early that what follows it can still be enough.
+   These pairs are confirmed without pruning.
 
 At the threshold a pair misses all bands with a chance of (1 - 0.75**4) ** 40 = 2.5e-7.
-Where all buckets that it shares are larger than ``BLOCK``, it misses all finer ones with
-about 0.1 %.
 
 A document of any length is one set; ties of ids are one document (see below), and an
 empty table gives an empty table.
@@ -37,7 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from polyquilt.llm import common, graph
@@ -255,6 +256,48 @@ def across(near: DataFrame, texts: DataFrame) -> DataFrame:
     return out
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, own, n, token): each shingle of a set, with the set's size."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 200):  # sets may be long
+            batch = whole.slice(at, 200)
+            sets = [np.frombuffer(x, np.int64) for x in batch.column(2).to_pylist()]
+            n = np.array([len(x) for x in sets], np.int64)
+            rows = pa.array(np.repeat(np.arange(len(sets)), n))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "own", "n", "token"])
+
+
+def remaining(members: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components among the ``members`` (bucket, id) of unsettled buckets whose sets may be similar enough.
+
+    Shingles are ordered from the rarest on.  The first one that two sets share stands, in
+    each, among the first n - ceil(n * PERCENT / 100) + 1, and no more of them can follow than
+    both sets have left.  Of a shingle's sets those in its largest component meet the others only.
+    """
+    own = with_component(members, found)
+    unsettled = own.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
+    ids = common.cut(own.join(unsettled.hint("merge"), "bucket").select("id", "comp").distinct())
+    sets = sets_of(texts, ids.select("id"))
+    # rows of one id may have several texts: ``own`` tells their sets
+    tokens = sets.filter("octet_length(shingles) > 0").select("id", F.xxhash64("shingles").alias("own"), "shingles").distinct().mapInArrow(_tokens, "id bigint, own bigint, n bigint, token bigint")
+    tokens = common.cut(tokens)
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    ranked = tokens.join(often.hint("merge"), "token").withColumn("place", F.row_number().over(Window.partitionBy("id", "own").orderBy("often", "token")) - 1)
+    early = ranked.filter(f"often > 1 AND 100 * (n - place) >= {PERCENT} * n").join(ids.hint("merge"), "id").select("token", "id", "comp", "n", "place")
+    early = common.cut(early)
+    most = early.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count("*").alias("_comps")).filter("_comps > 1").select("token", "most")
+    named = early.join(most.hint("merge"), "token")
+    x = named.filter("comp <> most").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "comp", "n", "place")])
+    y = named.select("token", "most", *[F.col(c).alias(f"{c}_y") for c in ("id", "comp", "n", "place")])
+    met = x.join(y.hint("merge"), "token").filter(
+        f"(comp_y > comp_x OR comp_y = most) AND comp_x <> comp_y AND id_x <> id_y AND 100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y)"
+        f" AND {100 + PERCENT} * least(n_x - place_x, n_y - place_y) >= {PERCENT} * (n_x + n_y)"
+    )
+    out = common.cut(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
+    common.free(ids, sets, tokens, early)
+    return out
+
+
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     """Whether two ascending arrays of distinct shingles are similar enough."""
     if not len(x) or not len(y) or 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
@@ -303,7 +346,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     reps = common.cut(reps)
     sigs = reps.select(F.col("rep").alias("id"), "sig")
     members = common.cut(shared(reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))).withColumn("comp", F.col("id")))
-    found, level = None, 0
+    found, level, first = None, 0, None
     while True:
         centres = common.cut(members.groupBy("bucket").agg(F.min("id").alias("centre"), F.min_by("comp", "id").alias("d"), F.count("*").alias("m")), sweep=False)
         met = members.join(centres.hint("merge"), "bucket").filter("id <> centre")
@@ -318,17 +361,26 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         rest = common.cut(with_component(met.filter("m > 2").select("bucket", "id"), found))
         sizes = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
         sizes = common.cut(sizes.select("bucket", (F.col("size") <= BLOCK).alias("small")), sweep=False)
-        more = across(rest.join(sizes.filter("small").hint("merge"), "bucket"), texts)
-        edges = confirm(more, texts)
-        found = graph.merged(found, edges)
+        if level == 0:  # pairs of later levels are among the members of this one's large buckets
+            more = across(rest.join(sizes.filter("small").hint("merge"), "bucket"), texts)
+            edges = confirm(more, texts)
+            found = graph.merged(found, edges)
+            common.free(more, edges)
         large = common.cut(rest.join(sizes.filter("NOT small").hint("merge"), "bucket").select("bucket", "id"), sweep=False)
-        common.free(members, centres, tested, rest, sizes, more, edges)
-        if large.isEmpty():
+        first = large if first is None else first
+        common.free(members, centres, tested, rest, sizes)
+        if level == len(FINER) or large.isEmpty():
             break
-        if level < len(FINER):
-            large = finer(large, sigs, level)
-        members = common.cut(with_component(large, found))
+        members = common.cut(with_component(finer(large, sigs, level), found))
+        if large is not first:
+            common.free(large)
         level += 1
+    if not first.isEmpty():
+        more = remaining(first, found, texts)
+        edges = confirm(more, texts)
+        found = graph.merged(found, edges)
+        common.free(more, edges)
+    common.free(first)
 
     ranked = reps.select("fp1", "fp2", "rep").join(found.toDF("rep", "component"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component")).hint("rebalance")
     out = signed.select("id", "n", "fp1", "fp2").join(ranked, ["fp1", "fp2"], "left")

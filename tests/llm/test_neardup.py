@@ -93,3 +93,19 @@ def test_finer_buckets_and_what_lies_beyond(spark, prose, monkeypatch):
     got = {r["id"]: r["component"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == want
     assert 1 < len(set(want.values())) < len(rows)
+
+
+def test_members_of_large_buckets_that_share_no_finer_one(spark, prose, monkeypatch):
+    """Pairs that no finer bucket holds are found on their shingles; texts of one id and sets of other sizes too."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    none = spark.createDataFrame([], "bucket bigint, id bigint")
+    monkeypatch.setattr(neardup, "finer", lambda members, sigs, level: none)
+    passage = prose(140, 1)
+    rows = []
+    for k in range(12):
+        own = prose(36, 500 + k)
+        rows += [(2 * k, f"{passage} {own}"), (2 * k + 1, f"{passage} {own} {prose(3 * k, 700 + k)}")]
+    want = brute(rows)
+    got = {r["id"]: r["component"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == want
+    assert 1 < len(set(want.values())) < len(rows)
