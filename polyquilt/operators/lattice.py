@@ -2,23 +2,25 @@
 
 A lattice is kept as its Hermite normal form: rows in echelon form, pivots positive, entries
 above a pivot reduced to 0 .. pivot - 1.  The form is unique, so the order of rows and of
-merges does not matter.  Each task reduces its rows to one form a group; forms are merged in
-two steps by group, so no task sees more than one form for each partition.  Arithmetic is
-in whole numbers of any size.
+merges does not matter.  Each task reduces its rows to forms, one a group for every ``HELD``
+rows at most; forms are then merged by group, those of many groups at once and pairwise, so
+steps over arrays are as many as digits and the logarithm of the largest group.  Arithmetic
+is in 64 bits while products fit, else in whole numbers of any size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Groups that a task reduces at a time before it passes their forms on.
+#: Rows that a task reduces at a time before it passes their forms on.
 HELD = 50_000
-#: Parts of the first step of merging.
-SALTS = 64
+#: What a product in 64 bits may be.
+ROOM = 4e18
 
 Form = list[list[int]]
 
@@ -60,59 +62,108 @@ def hermite(vectors: list[list[int]]) -> Form:
     return reduced(form)
 
 
+def _less(rows: np.ndarray, times: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """rows - times * others, row by row; an error where 64 bits may not hold it."""
+    if rows.dtype != object and len(rows) and (np.abs(times.astype(float))[:, None] * np.abs(others.astype(float)) + np.abs(rows.astype(float))).max() > ROOM:
+        raise OverflowError
+    return rows - times[:, None] * others
+
+
+def insert_all(forms: np.ndarray, vectors: np.ndarray) -> None:
+    """``insert`` of one vector into each of many forms (n x c x c, the row of pivot k in place k or 0), in place; vectors are used up."""
+    for place in range(forms.shape[1]):
+        while len(at := np.flatnonzero(vectors[:, place] != 0)):
+            row, v = forms[at, place], vectors[at]
+            vectors[at] = _less(row, row[:, place] // v[:, place], v)
+            forms[at, place] = v
+        turned = np.flatnonzero(forms[:, place, place] < 0)
+        forms[turned, place] = -forms[turned, place]
+
+
+def merge_all(codes: np.ndarray, forms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One reduced form for each of the ascending ``codes``: neighbours of a group are merged two by two until one is left."""
+    width = forms.shape[1]
+    while len(codes) and (codes[1:] == codes[:-1]).any():
+        heads = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
+        place = np.arange(len(codes)) - np.repeat(heads, np.diff(np.r_[heads, len(codes)]))
+        odd = np.flatnonzero(place % 2 == 1)
+        mine = forms[odd - 1]
+        for k in range(width):
+            insert_all(mine, forms[odd, k].copy())
+        forms[odd - 1] = mine
+        stay = place % 2 == 0
+        codes, forms = codes[stay], forms[stay]
+    for k in range(width):
+        for above in range(k):
+            at = np.flatnonzero(forms[:, k, k] != 0)
+            forms[at, above] = _less(forms[at, above], forms[at, above, k] // forms[at, k, k], forms[at, k])
+    return codes, forms
+
+
+def _combined(table: pa.Table, width: int) -> pa.RecordBatch:
+    """(by, form) of the rows' groups, in order of first rows; values are vectors of ``width`` or forms of its square."""
+    keys = table.column(0).combine_chunks().dictionary_encode(null_encoding="encode")
+    codes = np.asarray(keys.indices)
+    values = table.column(1).combine_chunks().flatten()
+    order = np.argsort(codes, kind="stable")
+    per = len(values) // max(len(codes), 1)
+
+    def merged(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        numbers = numbers.reshape(len(codes), per)[order]
+        if per == width * width and width > 1:
+            return merge_all(codes[order], numbers.reshape(-1, width, width))
+        forms = np.zeros((len(codes), width, width), numbers.dtype)
+        insert_all(forms, numbers.copy())
+        return merge_all(codes[order], forms)
+
+    try:
+        numbers = np.array(values.cast(pa.int64()))
+        if len(numbers) and np.abs(numbers.astype(float)).max() > ROOM:
+            raise OverflowError
+        own, forms = merged(numbers)
+        flat = pa.array(forms.ravel()).cast(pa.decimal128(38, 0))
+    except (OverflowError, pa.ArrowInvalid):
+        own, forms = merged(np.array([int(x) for x in values.to_pylist()], object))
+        flat = pa.array(forms.ravel().tolist(), pa.decimal128(38, 0))
+    offsets = pa.array(np.arange(len(own) + 1, dtype=np.int32) * width * width)
+    return pa.record_batch([keys.dictionary.take(pa.array(own)), pa.ListArray.from_arrays(offsets, flat)], names=["by", "form"])
+
+
 def basis(rows: DataFrame, by: str, columns: list[str]) -> DataFrame:
     """(by, rank, basis): for each group the Hermite form of its vectors' lattice, rows as arrays of decimals.
 
     A vector with a null is ignored (a group of such has rank 0); values must be whole.
     """
+    width = len(columns)
     kind = rows.schema[by].dataType.simpleString()
-    form_type = "array<array<decimal(38,0)>>"
-    schema = f"by {kind}, form {form_type}"
-    own = rows.select(F.col(by).alias("by"), F.when(F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns)), F.array(F.array(*[F.col(c).cast("decimal(38,0)") for c in columns]))).otherwise(F.array().cast(form_type)).alias("form"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[object, Form] = {}
-        key_type = form_arrow = None
-
-        def out() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(held.keys(), key_type), pa.array([reduced(f) for f in held.values()], form_arrow)], names=["by", "form"])
-
+    schema = f"by {kind}, form array<decimal(38,0)>"
+    short = all(rows.schema[c].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint") for c in columns)
+    number = "bigint" if short else "decimal(38,0)"
+    known = F.expr(" AND ".join(f"`{c}` IS NOT NULL" for c in columns))
+    own = rows.select(F.col(by).alias("by"), F.array(*[F.when(known, F.col(c).cast(number)).otherwise(F.lit(0).cast(number)) for c in columns]).alias("form"))
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            key_type, form_arrow = batch.schema.field(0).type, batch.schema.field(1).type
-            for key, form in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                mine = held.setdefault(key, [])
-                for v in form:
-                    insert(mine, [int(x) for x in v])
-            if len(held) > HELD:
-                yield out()
-                held.clear()
-        if held:
-            yield out()
-
-    part = own.mapInArrow(merge, schema)
-    salted = part.repartition(F.col("by"), F.spark_partition_id() % SALTS).mapInArrow(merge, schema)
-    last = salted.repartition("by").sortWithinPartitions("by").mapInArrow(_merge_sorted(merge), schema)
-    return last.select(F.col("by").alias(by), F.size("form").alias("rank"), F.col("form").alias("basis"))
-
-
-def _merge_sorted(merge):
-    """``merge`` for batches sorted by group: a group's forms are merged whole, wherever batches end."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: pa.Table | None = None
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= HELD:
+                yield _combined(pa.Table.from_batches(held), width)
+                held = []
+        if any(b.num_rows for b in held):
+            yield _combined(pa.Table.from_batches(held), width)
+
+    def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches sorted by group: the last group of each waits for the next."""
+        waiting: pa.RecordBatch | None = None
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch])
-            waiting = table if waiting is None else pa.concat_tables([waiting, table])
-            keys = waiting.column(0).combine_chunks()
-            last, cut = keys[len(keys) - 1], len(keys) - 1
-            while cut > 0 and keys[cut - 1] == last:
-                cut -= 1
-            if cut:
-                yield from merge(iter(waiting.slice(0, cut).combine_chunks().to_batches()))
-                waiting = waiting.slice(cut)
+            if batch.num_rows:
+                batch = batch.cast(pa.schema([("by", batch.schema.field(0).type), ("form", pa.list_(pa.decimal128(38, 0)))]))
+                made = _combined(pa.Table.from_batches([batch] if waiting is None else [waiting, batch]), width)
+                waiting = made.slice(made.num_rows - 1).cast(batch.schema)
+                yield made.slice(0, made.num_rows - 1)
         if waiting is not None:
-            yield from merge(iter(waiting.combine_chunks().to_batches()))
+            yield waiting
 
-    return run
+    met = own.mapInArrow(part, schema).repartition("by").sortWithinPartitions("by").mapInArrow(last, schema)
+    lines = F.array_compact(F.array(*[F.when(F.col("form")[k * width + k] != 0, F.slice("form", k * width + 1, width)) for k in range(width)]))
+    return met.select(F.col("by").alias(by), lines.alias("basis")).select(by, F.size("basis").alias("rank"), "basis")
