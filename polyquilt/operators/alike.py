@@ -15,6 +15,7 @@ by their key, and a task takes them from its sorted rows one after the other.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 
 import numpy as np
@@ -52,6 +53,21 @@ def greatest_bisimulation(marks: list, edges: list[tuple]) -> np.ndarray:
     return alike
 
 
+def least_alike(marks: tuple, edges: tuple) -> list[tuple[int, int]]:
+    """Of each row the least row that is like it, and how many are."""
+    bits = [np.unpackbits(line, count=len(marks)) for line in greatest_bisimulation(list(marks), list(edges))] if marks else []
+    return [(int(b.argmax()), int(b.sum())) for b in bits]
+
+
+#: Rows of a graph whose answer is kept: small graphs repeat.
+SMALL = 12
+
+
+@lru_cache(maxsize=20_000)
+def _kept(marks: tuple, edges: tuple) -> list[tuple[int, int]]:
+    return least_alike(marks, edges)
+
+
 def alike_rows(rows: DataFrame, edges: DataFrame, graph: str, row: str, mark: str) -> DataFrame:
     """(graph, row, least, n): for each row the least row that is like it, and how many are, itself included.
 
@@ -84,10 +100,11 @@ def alike_rows(rows: DataFrame, edges: DataFrame, graph: str, row: str, mark: st
                 nodes.append((a, m)) if b is None else lines.append((m, a, b))
             nodes.sort(key=lambda x: x[0])
             place = {a: k for k, (a, _) in enumerate(nodes)}
-            bits = greatest_bisimulation([m for _, m in nodes], [(m, place[a], place[b]) for m, a, b in lines if a in place and b in place]) if nodes else []
-            for (a, _), line in zip(nodes, bits):
-                own_bits = np.unpackbits(line, count=len(nodes))
-                found.append((g, a, nodes[int(own_bits.argmax())][0], int(own_bits.sum())))
+            number = {m: k for k, m in enumerate(dict.fromkeys(m for _, m in nodes))}
+            names = {m: k for k, m in enumerate(dict.fromkeys(m for m, _, _ in lines))}
+            steps = tuple(sorted({(names[m], place[a], place[b]) for m, a, b in lines if a in place and b in place}))
+            answer = (_kept if len(nodes) <= SMALL else least_alike)(tuple(number[m] for _, m in nodes), steps)
+            found += [(g, a, nodes[least][0], n) for (a, _), (least, n) in zip(nodes, answer)]
             if len(found) > 10_000:
                 yield out(found)
                 found = []

@@ -304,3 +304,17 @@ def test_forms_of_many_groups_at_once():
             for g, flat in zip(made.column(0).to_pylist(), made.column(1).to_pylist(), strict=True):
                 rows = [[int(x) for x in flat[k * width : (k + 1) * width]] for k in range(width)]
                 assert [r for r in rows if any(r)] == lattice.hermite([v for h, v in data if h == g])
+
+
+def test_small_graphs_that_repeat(spark):
+    """Graphs of one shape are worked on once, and each keeps its own rows' names."""
+    from polyquilt.operators import alike
+
+    shape = ((0, 0, 1), ((0, 0, 2), (0, 1, 2)))
+    alike._kept.cache_clear()
+    assert [alike._kept(*shape) for _ in range(5)] == [[(0, 2), (0, 2), (2, 1)]] * 5
+    assert alike._kept.cache_info().misses == 1
+    rows = [(g, 10 * g + k, f"{g}{m}") for g in range(40) for k, m in enumerate(shape[0])]
+    edges = [(g, 10 * g + a, 10 * g + b) for g in range(40) for _, a, b in shape[1]]
+    got = alike.alike_rows(frame(spark, rows, "g int, a int, m string"), frame(spark, edges, "g int, a int, b int"), "g", "a", "m").collect()
+    assert {tuple(r) for r in got} == {(g, 10 * g + k, 10 * g + least, n) for g in range(40) for k, (least, n) in enumerate([(0, 2), (0, 2), (2, 1)])}
