@@ -14,7 +14,7 @@ documents are linked if 100 * intersection >= 75 * union.
 4. A bucket whose members still fall in several components holds pairs that no star has
    compared.  One of at most ``BLOCK`` members (without its centre) is compared across its
    components by the same test, carried on to ``MOST`` minima; each pair counts in the
-   first such bucket that it shares, and survivors are confirmed as above.  The members of
+   first such bucket that it shares, and survivors are confirmed with those of step 5.  The members of
    larger ones are dealt to finer buckets, of more rows a band and more bands (``FINER``),
    whose stars link most of what belongs together (steps 2 and 3).
 5. Members of larger buckets that are still in several components are then joined on all
@@ -35,6 +35,7 @@ is linked where any of their texts is.  Other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -267,14 +268,13 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "own", "n", "token"])
 
 
-def remaining(members: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """All pairs (a, b) of different components among the ``members`` (bucket, id) of unsettled buckets whose sets may be similar enough.
+def remaining(own: DataFrame, texts: DataFrame) -> DataFrame:
+    """All pairs (a, b) of different components among the members ``own`` (bucket, id, comp) of unsettled buckets whose sets may be similar enough.
 
     Shingles are ordered from the rarest on.  The first one that two sets share stands, in
     each, among the first n - ceil(n * PERCENT / 100) + 1, and no more of them can follow than
     both sets have left.  Of a shingle's sets those in its largest component meet the others only.
     """
-    own = with_component(members, found)
     unsettled = own.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
     ids = common.cut(own.join(unsettled.hint("merge"), "bucket").select("id", "comp").distinct())
     sets = sets_of(texts, ids.select("id"))
@@ -346,29 +346,29 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     reps = common.cut(reps)
     sigs = reps.select(F.col("rep").alias("id"), "sig")
     members = common.cut(shared(reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))).withColumn("comp", F.col("id")))
-    found, level, first = None, 0, None
+    found, level, first, pending = None, 0, None, []
     while True:
-        centres = common.cut(members.groupBy("bucket").agg(F.min("id").alias("centre"), F.min_by("comp", "id").alias("d"), F.count("*").alias("m")), sweep=False)
-        met = members.join(centres.hint("merge"), "bucket").filter("id <> centre")
-        tested = common.cut(met.filter("comp <> d").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), sweep=False)
-        likely = tested.join(sigs.toDF("a", "x").hint("merge"), "a").join(sigs.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_pruned, "a bigint, b bigint").distinct()
+        centres = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.min_by("comp", "id").alias("d"), F.count("*").alias("m"))
+        met = common.cut(members.join(centres.hint("rebalance").hint("merge"), "bucket").filter("id <> centre"))
+        tested = met.filter("comp <> d").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
+        likely = tested.join(sigs.toDF("a", "x").hint("merge"), "a").join(sigs.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_pruned, "a bigint, b bigint")
         likely = common.cut(likely)
         edges = confirm(likely, texts)
-        found = graph.merged(found, edges)
-        common.free(likely, edges)
+        last, found = found, graph.merged(found, edges)
+        common.free(members, likely, edges)
 
         # buckets whose members are not all connected yet; their stars are compared already
-        rest = common.cut(with_component(met.filter("m > 2").select("bucket", "id"), found))
+        rest = met.filter("m > 2")
+        if found is not last:
+            rest = common.cut(with_component(rest.select("bucket", "id"), found))
         sizes = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
         sizes = common.cut(sizes.select("bucket", (F.col("size") <= BLOCK).alias("small")), sweep=False)
         if level == 0:  # pairs of later levels are among the members of this one's large buckets
-            more = across(rest.join(sizes.filter("small").hint("merge"), "bucket"), texts)
-            edges = confirm(more, texts)
-            found = graph.merged(found, edges)
-            common.free(more, edges)
-        large = common.cut(rest.join(sizes.filter("NOT small").hint("merge"), "bucket").select("bucket", "id"), sweep=False)
-        first = large if first is None else first
-        common.free(members, centres, tested, rest, sizes)
+            pending.append(across(rest.join(sizes.filter("small").hint("merge"), "bucket"), texts))
+        large = common.cut(rest.join(sizes.filter("NOT small").hint("merge"), "bucket").select("bucket", "id", "comp"), sweep=False)
+        if first is None:
+            first, known = large, found
+        common.free(met, rest, sizes)
         if level == len(FINER) or large.isEmpty():
             break
         members = common.cut(with_component(finer(large, sigs, level), found))
@@ -376,11 +376,11 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             common.free(large)
         level += 1
     if not first.isEmpty():
-        more = remaining(first, found, texts)
-        edges = confirm(more, texts)
-        found = graph.merged(found, edges)
-        common.free(more, edges)
-    common.free(first)
+        pending.append(remaining(first if found is known else with_component(first.select("bucket", "id"), found), texts))
+    more = reduce(DataFrame.unionByName, pending).distinct() if len(pending) > 1 else pending[0]
+    edges = confirm(more, texts)
+    found = graph.merged(found, edges)
+    common.free(first, edges, *pending)
 
     ranked = reps.select("fp1", "fp2", "rep").join(found.toDF("rep", "component"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component")).hint("rebalance")
     out = signed.select("id", "n", "fp1", "fp2").join(ranked, ["fp1", "fp2"], "left")

@@ -109,3 +109,14 @@ def test_members_of_large_buckets_that_share_no_finer_one(spark, prose, monkeypa
     got = {r["id"]: r["component"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == want
     assert 1 < len(set(want.values())) < len(rows)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    """Edges that point to the least member of their component are written once; a chain still takes its rounds."""
+    written, cut = [], neardup.common.cut
+    monkeypatch.setattr(graph.common, "cut", lambda df, sweep=True: written.append(1) or cut(df, sweep))
+    stars = [(0, k) for k in range(1, 30)] + [(k, 100) for k in range(101, 120)]
+    got = {r["node"]: r["component"] for r in graph.components(spark.createDataFrame(stars, "a bigint, b bigint")).collect()}
+    assert got == {**dict.fromkeys(range(30), 0), **dict.fromkeys(range(100, 120), 100)} and len(written) == 1
+    chain = [(k, k + 1) for k in range(6)] + [(6, 3), (2, 9)]
+    assert {r["component"] for r in graph.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()} == {0} and len(written) > 2
