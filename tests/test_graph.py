@@ -157,6 +157,19 @@ def test_crossings_are_counted_once_on_any_grid(spark, size):
     assert "CartesianProduct" not in made._jdf.queryExecution().toString() and "BroadcastNestedLoop" not in made._jdf.queryExecution().toString()
 
 
+def test_crossings_of_one_path_are_dealt_over_tasks(spark, monkeypatch):
+    """One path in one cell is met by pairs of its blocks, in several tasks, and counts each crossing once."""
+    for name, n in (("BLOCK", 5), ("PAIRS", 40), ("STEP", 7)):
+        monkeypatch.setattr(crossings, name, n)
+    rnd = random.Random(4)
+    lines = [[rnd.randrange(-40, 40) for _ in range(4)] for _ in range(60)]
+    want = [(k, j) for k, j in itertools.combinations(range(60), 2) if crossing(lines[k], lines[j])]
+    made = crossings.crossing_pairs(frame(spark, [(1, k, *x) for k, x in enumerate(lines)], "by int, id int, x1 int, y1 int, x2 int, y2 int"), 1000)
+    tasks = made.withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r["a"], r["b"]) for r in tasks) == want
+    assert len({r["task"] for r in tasks}) > 5
+
+
 def test_crossings_of_far_points_are_exact(spark):
     """Two lines that miss each other by one part in 2**28 do not cross."""
     big = (1 << 28) - 1
