@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from polyquilt.functions import hooks
 from polyquilt.operators import chunking, crossings, graph, lattice, layout
+from polyquilt.operators.tables import written
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +18,17 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def refine_colours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G1 + G4: classes of the part-supplier graph of ``lineitem``, weighted by lines, from the two kinds of nodes to the fixpoint."""
-    part, supplier = F.concat(F.lit("p"), F.col("l_partkey")), F.concat(F.lit("s"), F.col("l_suppkey"))
-    edges = _t(spark, sf_dir, "lineitem").groupBy(part.alias("a"), supplier.alias("b")).agg(F.count("*").alias("w"))
-    nodes = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    return graph.class_numbers(graph.refine(nodes.select("node", F.substring("node", 1, 1).alias("colour")), edges))
+    """G1 + G4: classes of the part-supplier graph of ``lineitem``, weighted by lines, from the two kinds of nodes to the fixpoint.
+
+    Parts are even numbers and suppliers odd ones while classes are sought; names, by which classes are ordered, come last.
+    """
+    lines = _t(spark, sf_dir, "lineitem").select((F.col("l_partkey").cast("long") * 2).alias("a"), (F.col("l_suppkey").cast("long") * 2 + 1).alias("b"))
+    nodes = lines.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = graph.refine(nodes.select("node", F.pmod("node", F.lit(2)).alias("colour")), lines.groupBy("a", "b").agg(F.count("*").alias("w")))
+    name = F.concat(F.when(F.pmod("node", F.lit(2)) == 0, "p").otherwise("s"), F.shiftright("node", 1))
+    named = written(found.select(name.alias("node"), F.col("least").alias("_class"), "size"))
+    first = named.groupBy("_class").agg(F.min("node").alias("least"))
+    return graph.class_numbers(named.join(first, "_class").select("node", "least", "size"))
 
 
 def _rounds(n: int) -> str:

@@ -86,6 +86,30 @@ def test_refinement_of_a_random_graph_and_odd_rows(spark):
     assert rows(graph.refine(nodes.limit(0), frame(spark, [], "a long, b long, w long"))) == []
 
 
+def test_refinement_by_weights_of_any_size(spark):
+    """Weights of opposite signs cancel out; ones that differ by a prime of the fingerprint, very large ones and fractions are told apart."""
+    p = graph.PRIMES[0]
+    ends = {1: [5, -5], 2: [], 3: [1], 4: [1 + p], 5: [1], 6: [1 + p * graph.PRIMES[1]], 7: [-(1 << 62)], 8: [-(1 << 62) + 1]}
+    nodes = frame(spark, [(0, 0), *[(k, 1) for k in ends]], "node long, colour int")
+    edges = [(k, 0, w) for k, ws in ends.items() for w in ws]
+    want = [(0, 0, 1), (1, 1, 2), (2, 1, 2), (3, 3, 2), (4, 4, 1), (5, 3, 2), (6, 6, 1), (7, 7, 1), (8, 8, 1)]
+    assert rows(graph.refine(nodes, frame(spark, edges, "a long, b long, w long"))) == want
+    parts = [(k, 0, w / 8) for k, w in ((1, 3), (2, 3), (3, 4))]
+    assert rows(graph.refine(frame(spark, [(k, 0) for k in range(4)], "node long, colour int"), frame(spark, parts, "a long, b long, w double"))) == [(0, 0, 1), (1, 1, 2), (2, 1, 2), (3, 3, 1)]
+
+
+def test_refinement_leaves_settled_nodes_alone(spark, monkeypatch):
+    """Edges of nodes that are classes of their own are left behind, and no round looks at them again."""
+    looked, into = [], graph._weights_into
+    monkeypatch.setattr(graph, "_weights_into", lambda near, moved: looked.append(near.count()) or into(near, moved))
+    star = [(0, k, k) for k in range(1, 30)]
+    made = graph.refine(frame(spark, [(k, 0) for k in range(30)], "node long, colour int"), frame(spark, star, "a long, b long, w long"))
+    assert rows(made) == sorted(((k, k, 1) for k in range(30)), key=repr) and looked == [58]
+    twins = [*star, (0, 40, 99), (0, 41, 99)]
+    made = graph.refine(frame(spark, [(k, 0) for k in [*range(30), 40, 41]], "node long, colour int"), frame(spark, twins, "a long, b long, w long"))
+    assert rows(made) == sorted([*[(k, k, 1) for k in range(30)], (40, 40, 2), (41, 40, 2)], key=repr) and looked[1:] == [62, 2]
+
+
 # --- components and distances ---
 
 
