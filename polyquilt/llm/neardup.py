@@ -241,9 +241,10 @@ def shared(members: DataFrame) -> DataFrame:
 
 
 def with_component(members: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` with ``comp``, the component of their id."""
-    met = members.join(found.toDF("id", "_component").hint("merge"), "id", "left")
-    return met.withColumn("comp", F.coalesce("_component", "id")).drop("_component")
+    """``members`` (bucket, id) with ``comp``, the component of their id: an id, with its bounded number of buckets, is one row that meets its component."""
+    own = members.groupBy("id").agg(F.collect_list("bucket").alias("buckets"))
+    met = own.join(found.toDF("id", "_component").hint("merge"), "id", "left")
+    return met.select(F.explode("buckets").alias("bucket"), "id", F.coalesce("_component", "id").alias("comp"))
 
 
 def across(near: DataFrame, texts: DataFrame) -> DataFrame:
@@ -277,7 +278,7 @@ def remaining(own: DataFrame, texts: DataFrame) -> DataFrame:
     """
     unsettled = own.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
     ids = common.cut(own.join(unsettled.hint("merge"), "bucket").select("id", "comp").distinct())
-    sets = sets_of(texts, ids.select("id"))
+    sets = _sets_in(texts, ids.select("id"))
     # rows of one id may have several texts: ``own`` tells their sets
     tokens = sets.filter("octet_length(shingles) > 0").select("id", F.xxhash64("shingles").alias("own"), "shingles").distinct().mapInArrow(_tokens, "id bigint, own bigint, n bigint, token bigint")
     tokens = common.cut(tokens)
@@ -294,7 +295,7 @@ def remaining(own: DataFrame, texts: DataFrame) -> DataFrame:
         f" AND {100 + PERCENT} * least(n_x - place_x, n_y - place_y) >= {PERCENT} * (n_x + n_y)"
     )
     out = common.cut(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
-    common.free(ids, sets, tokens, early)
+    common.free(ids, tokens, early)
     return out
 
 
@@ -323,9 +324,14 @@ def _confirmed(percent: int):
     return run
 
 
-def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+def _sets_in(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, shingles) of the rows of ``texts`` (id, text) whose id is in ``ids``."""
-    return common.cut(texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary"))
+    return texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary")
+
+
+def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """``_sets_in`` as a table."""
+    return common.cut(_sets_in(texts, ids))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -345,11 +351,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     reps = signed.filter("n > 0 AND id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min_by("bands", "id").alias("bands"), F.min_by("sig", "id").alias("sig"))
     reps = common.cut(reps)
     sigs = reps.select(F.col("rep").alias("id"), "sig")
-    members = common.cut(shared(reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))).withColumn("comp", F.col("id")))
+    members = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
     found, level, first, pending = None, 0, None, []
     while True:
-        centres = members.groupBy("bucket").agg(F.min("id").alias("centre"), F.min_by("comp", "id").alias("d"), F.count("*").alias("m"))
-        met = common.cut(members.join(centres.hint("rebalance").hint("merge"), "bucket").filter("id <> centre"))
+        lead = [F.min("id").alias("centre"), F.count("*").alias("m")] + ([F.min_by("comp", "id").alias("d")] if level else [])
+        centres = members.groupBy("bucket").agg(*lead).filter("m > 1")
+        met = members.join(centres.hint("rebalance").hint("merge"), "bucket").filter("id <> centre")
+        met = common.cut(met if level else met.withColumns({"comp": F.col("id"), "d": F.col("centre")}))
         tested = met.filter("comp <> d").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         likely = tested.join(sigs.toDF("a", "x").hint("merge"), "a").join(sigs.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_pruned, "a bigint, b bigint")
         likely = common.cut(likely)
@@ -358,29 +366,33 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
         common.free(members, likely, edges)
 
         # buckets whose members are not all connected yet; their stars are compared already
-        rest = met.filter("m > 2")
+        rest = met.filter("m > 2").select("bucket", "id", "comp")
         if found is not last:
-            rest = common.cut(with_component(rest.select("bucket", "id"), found))
+            rest = with_component(rest.select("bucket", "id"), found)
         sizes = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
-        sizes = common.cut(sizes.select("bucket", (F.col("size") <= BLOCK).alias("small")), sweep=False)
+        sizes = sizes.select("bucket", (F.col("size") <= BLOCK).alias("small"))
+        unsettled = common.cut(rest.join(sizes.hint("merge"), "bucket"))
+        large = unsettled.filter("NOT small").drop("small")
         if level == 0:  # pairs of later levels are among the members of this one's large buckets
-            pending.append(across(rest.join(sizes.filter("small").hint("merge"), "bucket"), texts))
-        large = common.cut(rest.join(sizes.filter("NOT small").hint("merge"), "bucket").select("bucket", "id", "comp"), sweep=False)
+            pending.append(across(unsettled.filter("small").drop("small"), texts))
+        done = large.isEmpty()
         if first is None:
-            first, known = large, found
-        common.free(met, rest, sizes)
-        if level == len(FINER) or large.isEmpty():
+            first, known, kept, some = large, found, unsettled, not done
+        common.free(met)
+        if level == len(FINER) or done:
             break
         members = common.cut(with_component(finer(large, sigs, level), found))
-        if large is not first:
-            common.free(large)
+        if unsettled is not kept:
+            common.free(unsettled)
         level += 1
-    if not first.isEmpty():
+    if unsettled is not kept:
+        common.free(unsettled)
+    if some:
         pending.append(remaining(first if found is known else with_component(first.select("bucket", "id"), found), texts))
     more = reduce(DataFrame.unionByName, pending).distinct() if len(pending) > 1 else pending[0]
     edges = confirm(more, texts)
     found = graph.merged(found, edges)
-    common.free(first, edges, *pending)
+    common.free(kept, edges, *pending)
 
     ranked = reps.select("fp1", "fp2", "rep").join(found.toDF("rep", "component"), "rep", "left").select("fp1", "fp2", F.coalesce("component", "rep").alias("component")).hint("rebalance")
     out = signed.select("id", "n", "fp1", "fp2").join(ranked, ["fp1", "fp2"], "left")

@@ -120,3 +120,20 @@ def test_stars_need_no_round(spark, monkeypatch):
     assert got == {**dict.fromkeys(range(30), 0), **dict.fromkeys(range(100, 120), 100)} and len(written) == 1
     chain = [(k, k + 1) for k in range(6)] + [(6, 3), (2, 9)]
     assert {r["component"] for r in graph.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect()} == {0} and len(written) > 2
+
+
+def test_an_id_meets_its_component_once(spark):
+    """However many buckets an id is in, one row of it is joined with the components."""
+    members = spark.createDataFrame([(b, k) for k in range(50) for b in range(40)], "bucket bigint, id bigint")
+    found = spark.createDataFrame([(k, 0) for k in range(0, 50, 2)], "node bigint, component bigint")
+    got = neardup.with_component(members, found)
+    assert sorted(map(tuple, got.select("bucket", "id", "comp").collect())) == sorted((b, k, k if k % 2 else 0) for k in range(50) for b in range(40))
+    todo, made = [got._jdf.queryExecution().executedPlan().finalPhysicalPlan()], []
+    while todo:
+        plan = todo.pop()
+        todo += [plan.children().apply(k) for k in range(plan.children().size())]
+        if plan.nodeName().endswith("QueryStage"):
+            todo.append(plan.plan())
+        if "Join" in plan.nodeName():
+            made.append(plan.logicalLink().get().toString().count("collect_list"))
+    assert made and all(made)
