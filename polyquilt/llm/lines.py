@@ -121,9 +121,14 @@ def distinct_lines(lines: DataFrame) -> DataFrame:
     return found.select("k1", "k2", "place", "n", F.when(F.col("b0").isNotNull(), F.array_sort(F.array_distinct(F.array(*[f"b{b}" for b in range(BANDS)])))).alias("bands"))
 
 
+def alike(n: Column, m: Column, percent: int = PERCENT) -> Column:
+    """Whether sets of these sizes can be similar enough."""
+    return F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)
+
+
 def similar(x: Column, y: Column, percent: int = PERCENT) -> Column:
     """Whether two arrays of distinct shingles are similar enough; their sizes alone can tell that they are not."""
-    sizes = F.lit(100) * F.least(F.size(x), F.size(y)) >= F.lit(percent) * F.greatest(F.size(x), F.size(y))
+    sizes = alike(F.size(x), F.size(y), percent)
     both = F.size(F.array_intersect(x, y))
     return sizes & (both > 0) & (F.lit(100) * both >= F.lit(percent) * (F.size(x) + F.size(y) - both))
 
@@ -153,7 +158,9 @@ def across(members: DataFrame, texts: DataFrame) -> DataFrame:
     """
     buckets = members.groupBy("place").agg(F.array_sort(F.collect_set("bucket")).alias("buckets"))
     members = members.join(buckets.hint("merge"), "place")
-    groups = members.join(texts.hint("merge"), "place").groupBy("bucket").agg(F.mode("comp").alias("most"), F.collect_list(F.struct("comp", "buckets", "line")).alias("m"))
+    # buckets hold few bytes and cost much time, so they are dealt by number and not coalesced by bytes
+    tasks = max(int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), members.sparkSession.sparkContext.defaultParallelism)
+    groups = members.join(texts.hint("merge"), "place").repartition(tasks, "bucket").groupBy("bucket").agg(F.mode("comp").alias("most"), F.collect_list(F.struct("comp", "buckets", "line")).alias("m"))
     sets = F.transform("m", lambda x: F.struct(x["comp"].alias("comp"), x["buckets"].alias("buckets"), F.sort_array(shingles(x["line"])).alias("s")))
     few = [lambda x, n=n: F.slice(x["s"], 1, n) for n, _ in SKETCHES]
     groups = groups.select("bucket", "most", F.transform(sets, lambda x: F.struct(x["comp"].alias("comp"), x["buckets"].alias("buckets"), *[f(x).alias(f"s{k}") for k, f in enumerate(few)], x["s"].alias("s"))).alias("m"))
@@ -161,7 +168,8 @@ def across(members: DataFrame, texts: DataFrame) -> DataFrame:
     apart = lambda x, y: (x["comp"] < y["comp"]) | (y["comp"] == F.col("most"))
 
     def linked(x: Column, y: Column) -> Column:
-        test = apart(x, y) & here(x, y)
+        # cheapest first: sizes alone tell most pairs apart
+        test = apart(x, y) & alike(F.size(x["s"]), F.size(y["s"])) & here(x, y)
         for k, (most, least) in enumerate(SKETCHES):
             test = test & likely(x[f"s{k}"], y[f"s{k}"], most, least)
         return test & similar(x["s"], y["s"])

@@ -101,3 +101,15 @@ def test_finer_buckets_and_what_lies_beyond(spark, prose, monkeypatch):
     got = {r["doc_id"]: r["text"] for r in lines.dedup(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert got == want
     assert 0 < sum(t == "" for t in want.values()) < len(rows)
+
+
+def test_comparisons_inside_buckets_are_dealt_by_number(spark, prose, monkeypatch):
+    """Small buckets that take long are not put into one task for their few bytes, and their links are those of the full sets."""
+    plans, cut = [], lines.common.cut
+    monkeypatch.setattr(lines.common, "cut", lambda df, sweep=True: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, sweep))
+    base = prose(30, 1)
+    texts = [base, base + " x", prose(30, 2), base[:60], base + " " + base[::-1]]
+    members = spark.createDataFrame([(1, k) for k in range(5)], "bucket bigint, k int").selectExpr("bucket", "cast(k as decimal(38,0)) place", "cast(k as decimal(38,0)) comp")
+    lined = spark.createDataFrame(list(enumerate(texts)), "k int, line string").selectExpr("cast(k as decimal(38,0)) place", "line")
+    assert {tuple(sorted(map(int, r))) for r in lines.across(members, lined).collect()} == {(0, 1)}
+    assert len(plans) == 1 and "REPARTITION_BY_NUM" in plans[0]
