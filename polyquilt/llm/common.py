@@ -62,6 +62,14 @@ def cut(df: DataFrame, sweep: bool = True) -> DataFrame:
     return out
 
 
+def few(df: DataFrame, rows: int, each: int) -> DataFrame:
+    """``df`` in no more last tasks than ``rows`` are worth at ``each`` a task, nor fewer than there are cores.
+
+    A small table is then written as few files, however many partitions a shuffle has; a large one keeps all its tasks.
+    """
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
+
+
 def free(*tables: DataFrame | None) -> None:
     """Delete tables of ``cut`` that nothing will read any more."""
     for t in tables:

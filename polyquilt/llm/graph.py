@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from polyquilt.llm import common
 
 
+#: Edges for which a task is worth while.
+EDGES = 1 << 17
+
+
 def _with_least(edges: DataFrame) -> DataFrame:
     """(u, v, m): m is the least of u's neighbours.  The rebalanced side lets a hub's rows be split in the join."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).hint("rebalance")
@@ -32,13 +36,14 @@ def components(edges: DataFrame) -> DataFrame:
     Edges with a null end, loops and repeated edges are allowed and add nothing; no edges give no rows.
     """
     e = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = common.cut(e, sweep=False)
+    n = edges.count()  # no round makes more edges than there are; edges come as a table, which tells its rows
+    e = common.cut(common.few(e, n, EDGES), sweep=False)
     while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _with_least(both).filter("v > u").select(F.col("v").alias("u"), F.least("m", "u").alias("v")).filter("u <> v").distinct()
         near = _with_least(large)
         small = near.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct()
-        last, e = e, common.cut(small, sweep=False)
+        last, e = e, common.cut(common.few(small, 2 * n, EDGES), sweep=False)
         common.free(last)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
@@ -50,17 +55,17 @@ def merged(found: DataFrame | None, edges: DataFrame) -> DataFrame:
     Only what the edges join is worked on: they are contracted to the components of their ends first.
     """
     if found is None:
-        return common.cut(components(edges))
+        return common.cut(common.few(components(edges), 2 * edges.count(), EDGES))
     ends = edges
     for end in ("a", "b"):
         known = found.toDF(end, "_component").hint("merge")
         ends = ends.join(known, end, "left").withColumn(end, F.coalesce("_component", end)).drop("_component")
-    ends = common.cut(ends.filter("a <> b").distinct(), sweep=False)
-    if ends.isEmpty():
+    ends = common.cut(common.few(ends.filter("a <> b").distinct(), edges.count(), EDGES), sweep=False)
+    if not (n := ends.count()):
         return found
-    moved = common.cut(components(ends), sweep=False)
+    moved = common.cut(common.few(components(ends), 2 * n, EDGES), sweep=False)
     old = found.join(moved.toDF("component", "_to").hint("merge"), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
     new = moved.join(found.select("node").hint("merge"), "node", "left_anti")
-    out = common.cut(old.unionByName(new))
+    out = common.cut(common.few(old.unionByName(new), found.count() + 2 * n, EDGES))
     common.free(ends, moved, found)
     return out

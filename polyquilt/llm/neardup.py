@@ -14,13 +14,14 @@ documents are linked if 100 * intersection >= 75 * union.
 4. A bucket whose members still fall in several components holds pairs that no star has
    compared.  One of at most ``BLOCK`` members (without its centre) is compared across its
    components by the same test, carried on to ``MOST`` minima; each pair counts in the
-   first such bucket that it shares, and survivors are confirmed with those of step 5.  The members of
-   larger ones are dealt to finer buckets, of more rows a band and more bands (``FINER``),
-   whose stars link most of what belongs together (steps 2 and 3).
-5. Members of larger buckets that are still in several components are then joined on all
+   first such bucket that it shares, and survivors are confirmed with those of step 5.
+5. Members of larger buckets that are still in several components are joined on all
    their shingles by prefixes, which misses nothing: two sets that are similar enough share
    one of the rarest shingles of each, so early that what follows it can still be enough.
    These pairs are confirmed without pruning.
+6. Where that join would meet more than ``MEETS`` pairs a row, the members are dealt to finer
+   buckets first, of more rows a band and more bands (``FINER``), whose stars link most of
+   what belongs together (steps 2 and 3), as sets of one component need not meet.
 
 At the threshold a pair misses all bands with a chance of (1 - 0.75**4) ** 40 = 2.5e-7.
 
@@ -53,6 +54,10 @@ MISS = 1e-6
 MOST, MORE = 1024, 96
 #: Members of a bucket that are compared with each other in one task.
 BLOCK = 1024
+#: Pairs of shingles that the exact join may meet for each of its rows before finer buckets link more members.
+MEETS = 256
+#: Documents for which a task is worth while.
+EACH = 4096
 #: Bands and rows of the finer buckets.
 FINER = ((64, 8), (128, 16))
 
@@ -247,13 +252,14 @@ def with_component(members: DataFrame, found: DataFrame) -> DataFrame:
     return met.select(F.explode("buckets").alias("bucket"), "id", F.coalesce("_component", "id").alias("comp"))
 
 
-def across(near: DataFrame, texts: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) between the components of each small bucket of ``near`` (bucket, id, comp)."""
+def across(near: DataFrame, texts: DataFrame, docs: int) -> DataFrame:
+    """Candidate pairs (a, b) between the components of each small bucket of ``near`` (bucket, id, comp); ``docs``: how many documents there are."""
     buckets = near.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))  # as many as there are bands at most
     wide = texts.join(near.select("id").distinct().hint("merge"), "id", "left_semi").mapInArrow(_wide, "id bigint, n bigint, sig binary").distinct()
-    wide = common.cut(wide)
+    wide = common.cut(common.few(wide, docs, EACH))
     met = near.join(wide.join(buckets.hint("merge"), "id").hint("merge"), "id")
-    out = common.cut(met.select("bucket", "id", "comp", "n", "sig", "buckets").groupBy("bucket").applyInArrow(_across, "a bigint, b bigint").distinct())
+    out = met.select("bucket", "id", "comp", "n", "sig", "buckets").groupBy("bucket").applyInArrow(_across, "a bigint, b bigint").distinct()
+    out = common.cut(common.few(out, docs, EACH))
     common.free(wide)
     return out
 
@@ -269,33 +275,40 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets))], names=["id", "own", "n", "token"])
 
 
-def remaining(own: DataFrame, texts: DataFrame) -> DataFrame:
+def remaining(own: DataFrame, texts: DataFrame, docs: int, meets: int | None = None) -> DataFrame | None:
     """All pairs (a, b) of different components among the members ``own`` (bucket, id, comp) of unsettled buckets whose sets may be similar enough.
 
+    None if more than ``meets`` pairs would meet for each early shingle of a set.
+
     Shingles are ordered from the rarest on.  The first one that two sets share stands, in
     each, among the first n - ceil(n * PERCENT / 100) + 1, and no more of them can follow than
     both sets have left.  Of a shingle's sets those in its largest component meet the others only.
     """
     unsettled = own.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("bucket")
-    ids = common.cut(own.join(unsettled.hint("merge"), "bucket").select("id", "comp").distinct())
+    ids = common.cut(common.few(own.join(unsettled.hint("merge"), "bucket").select("id", "comp").distinct(), docs, EACH))
     sets = _sets_in(texts, ids.select("id"))
     # rows of one id may have several texts: ``own`` tells their sets
     tokens = sets.filter("octet_length(shingles) > 0").select("id", F.xxhash64("shingles").alias("own"), "shingles").distinct().mapInArrow(_tokens, "id bigint, own bigint, n bigint, token bigint")
-    tokens = common.cut(tokens)
+    tokens = common.cut(common.few(tokens, docs, EACH))
     often = tokens.groupBy("token").agg(F.count("*").alias("often"))
     ranked = tokens.join(often.hint("merge"), "token").withColumn("place", F.row_number().over(Window.partitionBy("id", "own").orderBy("often", "token")) - 1)
     early = ranked.filter(f"often > 1 AND 100 * (n - place) >= {PERCENT} * n").join(ids.hint("merge"), "id").select("token", "id", "comp", "n", "place")
-    early = common.cut(early)
-    most = early.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.count("*").alias("_comps")).filter("_comps > 1").select("token", "most")
-    named = early.join(most.hint("merge"), "token")
+    early = common.cut(common.few(early, docs, EACH))
+    most = early.groupBy("token", "comp").agg(F.count("*").alias("m")).groupBy("token").agg(F.max_by("comp", F.struct("m", "comp")).alias("most"), F.max("m").alias("m"), F.sum("m").alias("sets"), F.count("*").alias("_comps"))
+    most = common.cut(common.few(most.filter("_comps > 1").select("token", "most", "m", "sets"), docs, EACH))
+    # sets outside a shingle's largest component meet all of its sets
+    if meets is not None and (most.agg(F.sum((F.col("sets") - F.col("m")).cast("double") * F.col("sets"))).first()[0] or 0) > meets * early.count():
+        common.free(ids, tokens, early, most)
+        return None
+    named = early.join(most.select("token", "most").hint("merge"), "token")
     x = named.filter("comp <> most").select("token", *[F.col(c).alias(f"{c}_x") for c in ("id", "comp", "n", "place")])
     y = named.select("token", "most", *[F.col(c).alias(f"{c}_y") for c in ("id", "comp", "n", "place")])
     met = x.join(y.hint("merge"), "token").filter(
         f"(comp_y > comp_x OR comp_y = most) AND comp_x <> comp_y AND id_x <> id_y AND 100 * least(n_x, n_y) >= {PERCENT} * greatest(n_x, n_y)"
         f" AND {100 + PERCENT} * least(n_x - place_x, n_y - place_y) >= {PERCENT} * (n_x + n_y)"
     )
-    out = common.cut(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct())
-    common.free(ids, tokens, early)
+    out = common.cut(common.few(met.select(F.least("id_x", "id_y").alias("a"), F.greatest("id_x", "id_y").alias("b")).distinct(), docs, EACH))
+    common.free(ids, tokens, early, most)
     return out
 
 
@@ -329,17 +342,12 @@ def _sets_in(texts: DataFrame, ids: DataFrame) -> DataFrame:
     return texts.join(ids.hint("merge"), "id", "left_semi").mapInArrow(_sets, "id bigint, shingles binary")
 
 
-def sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """``_sets_in`` as a table."""
-    return common.cut(_sets_in(texts, ids))
-
-
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, docs: int, percent: int = PERCENT) -> DataFrame:
     """The candidate pairs (a, b) that the full sets of ``texts`` (id, text) confirm."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = sets_of(texts, ids)
+    sets = common.cut(common.few(_sets_in(texts, ids), docs, EACH))
     met = pairs.join(sets.toDF("a", "x").hint("merge"), "a").join(sets.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y")
-    out = common.cut(met.mapInArrow(_confirmed(percent), "a bigint, b bigint").distinct())
+    out = common.cut(common.few(met.mapInArrow(_confirmed(percent), "a bigint, b bigint").distinct(), docs, EACH))
     common.free(sets)
     return out
 
@@ -349,19 +357,21 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     texts = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"))
     signed = common.cut(texts.mapInArrow(_signed, "id bigint, n bigint, fp1 bigint, fp2 bigint, bands array<bigint>, sig binary"))
     reps = signed.filter("n > 0 AND id IS NOT NULL").groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min_by("bands", "id").alias("bands"), F.min_by("sig", "id").alias("sig"))
-    reps = common.cut(reps)
+    rows = signed.count()
+    put = lambda df: common.cut(common.few(df, rows, EACH))
+    reps = put(reps)
     sigs = reps.select(F.col("rep").alias("id"), "sig")
     members = reps.select(F.col("rep").alias("id"), F.explode("bands").alias("bucket"))
-    found, level, first, pending = None, 0, None, []
+    found, level, pending, exact = None, 0, [], None
     while True:
         lead = [F.min("id").alias("centre"), F.count("*").alias("m")] + ([F.min_by("comp", "id").alias("d")] if level else [])
         centres = members.groupBy("bucket").agg(*lead).filter("m > 1")
         met = members.join(centres.hint("rebalance").hint("merge"), "bucket").filter("id <> centre")
-        met = common.cut(met if level else met.withColumns({"comp": F.col("id"), "d": F.col("centre")}))
+        met = put(met if level else met.withColumns({"comp": F.col("id"), "d": F.col("centre")}))
         tested = met.filter("comp <> d").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
         likely = tested.join(sigs.toDF("a", "x").hint("merge"), "a").join(sigs.toDF("b", "y").hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(_pruned, "a bigint, b bigint")
-        likely = common.cut(likely)
-        edges = confirm(likely, texts)
+        likely = put(likely)
+        edges = confirm(likely, texts, rows)
         last, found = found, graph.merged(found, edges)
         common.free(members, likely, edges)
 
@@ -371,26 +381,26 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
             rest = with_component(rest.select("bucket", "id"), found)
         sizes = rest.groupBy("bucket").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("size")).filter("c0 < c1")
         sizes = sizes.select("bucket", (F.col("size") <= BLOCK).alias("small"))
-        unsettled = common.cut(rest.join(sizes.hint("merge"), "bucket"))
+        unsettled = put(rest.join(sizes.hint("merge"), "bucket"))
         large = unsettled.filter("NOT small").drop("small")
         if level == 0:  # pairs of later levels are among the members of this one's large buckets
-            pending.append(across(unsettled.filter("small").drop("small"), texts))
-        done = large.isEmpty()
-        if first is None:
-            first, known, kept, some = large, found, unsettled, not done
+            pending.append(across(unsettled.filter("small").drop("small"), texts, rows))
+            # finer buckets only where the exact join has too much to do
+            first, known, kept, some = large, found, unsettled, not large.isEmpty()
+            exact = remaining(large, texts, rows, MEETS) if some else None
         common.free(met)
-        if level == len(FINER) or done:
+        if level == len(FINER) or exact is not None or large.isEmpty():
             break
-        members = common.cut(with_component(finer(large, sigs, level), found))
+        members = put(with_component(finer(large, sigs, level), found))
         if unsettled is not kept:
             common.free(unsettled)
         level += 1
     if unsettled is not kept:
         common.free(unsettled)
     if some:
-        pending.append(remaining(first if found is known else with_component(first.select("bucket", "id"), found), texts))
+        pending.append(remaining(first if found is known else with_component(first.select("bucket", "id"), found), texts, rows) if exact is None else exact)
     more = reduce(DataFrame.unionByName, pending).distinct() if len(pending) > 1 else pending[0]
-    edges = confirm(more, texts)
+    edges = confirm(more, texts, rows)
     found = graph.merged(found, edges)
     common.free(kept, edges, *pending)
 

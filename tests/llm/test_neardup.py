@@ -137,3 +137,45 @@ def test_an_id_meets_its_component_once(spark):
         if "Join" in plan.nodeName():
             made.append(plan.logicalLink().get().toString().count("collect_list"))
     assert made and all(made)
+
+
+def _families(prose):
+    """Pairs that are linked, among documents that share one long passage."""
+    passage = prose(140, 1)
+    rows = []
+    for k in range(12):
+        own = prose(36, 500 + k)
+        rows += [(2 * k, f"{passage} {own}"), (2 * k + 1, f"{passage} {own} more{k}")]
+    return rows
+
+
+def test_large_buckets_go_to_the_exact_join_at_once(spark, prose, monkeypatch):
+    """Members of a large bucket are not dealt to finer ones where the exact join meets few pairs, and lose no link."""
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "finer", None)
+    rows = _families(prose)
+    check(spark, rows)
+
+
+def test_finer_buckets_where_the_exact_join_has_too_much_to_do(spark, prose, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK", 3)
+    monkeypatch.setattr(neardup, "MEETS", 0)
+    levels, finer = [], neardup.finer
+    monkeypatch.setattr(neardup, "finer", lambda members, sigs, level: levels.append(level) or finer(members, sigs, level))
+    check(spark, _families(prose))
+    assert levels
+
+
+def test_small_tables_are_few_files(spark):
+    """Components of a few edges are not written by a task for each partition of a shuffle."""
+    edges = spark.createDataFrame([(k, k + 1) for k in range(9)], "a bigint, b bigint")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 97)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+        found = graph.merged(None, edges)
+        assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(10)}
+        assert len(found.inputFiles()) <= spark.sparkContext.defaultParallelism < 97
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
